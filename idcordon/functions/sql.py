@@ -64,16 +64,17 @@ def fold_emit(
 ) -> str:
     """Walk an array in order, hand a value from item to item, collect what is given off.
 
-    ``step_carry`` and ``step_out`` (an array) are written over ``a.carry`` and the item
-    ``x``; ``finish`` (an array) over ``s.carry``. Growing one long array by single
-    appends would copy it each time, so short arrays are filled by block and then joined.
+    ``step_carry`` is written over the value handed on, ``a.carry``, and the item ``x``;
+    ``step_out`` (an array) may also use the new value, ``n``; ``finish`` (an array) is
+    written over ``s.carry``. Growing one long array by single appends would copy it
+    each time, so short arrays are filled by block and then joined.
     """
     none = empty(out_type)
     start = f"named_struct('carry', {carry}, 'out', {none})"
+    step = let(step_carry, "n", f"named_struct('carry', n, 'out', concat(a.out, {step_out}))")
     inner = (
         f"aggregate(slice(xs, k * {_BLOCK} + 1, {_BLOCK}), "
-        f"named_struct('carry', s.carry, 'out', {none}), "
-        f"(a, x) -> named_struct('carry', {step_carry}, 'out', concat(a.out, {step_out})))"
+        f"named_struct('carry', s.carry, 'out', {none}), (a, x) -> {step})"
     )
     block = let(inner, "b", "named_struct('carry', b.carry, 'out', concat(s.out, b.out))")
     last = f"concat(s.out, {finish})" if finish else "s.out"

@@ -47,7 +47,7 @@ def _spans(text: str, hits: str, entity: Entity, ord_: int, strict: bool) -> str
         "0",
         "struct<end:int,value:string>",
         "a.carry + x.advance",
-        "array(named_struct('end', a.carry + x.advance, 'value', x.value))",
+        "array(named_struct('end', n, 'value', x.value))",
     )
     if strict and entity.check:
         placed = f"filter({placed}, p -> {RULES[entity.check]('p.value')})"
