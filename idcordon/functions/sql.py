@@ -46,6 +46,16 @@ def let(value: str, var: str, body: str) -> str:
     return f"get(transform(array({value}), {var} -> {body}), 0)"
 
 
+def once(value: str, alias: str) -> str:
+    """A select item that is evaluated exactly once per row.
+
+    The optimizer likes to copy an expression into every filter and projection above it,
+    which for a regex pass or a fold costs more than it saves. It does not look through
+    a generator, and ``explode`` of a one-item array gives one row for one row.
+    """
+    return f"explode(array({value})) AS {alias}"
+
+
 def choose(*branches: tuple[str, str], otherwise: str = "NULL") -> str:
     cases = " ".join(f"WHEN {test} THEN {value}" for test, value in branches)
     return f"CASE {cases} ELSE {otherwise} END"

@@ -14,7 +14,7 @@ from idcordon.config import ScanOptions
 from idcordon.functions.catalog import SEVERITY_RANK, Entity
 from idcordon.functions.masks import mask
 from idcordon.functions.regex import jvm_pattern
-from idcordon.functions.sql import array, empty, fold_emit, lit, name, pattern
+from idcordon.functions.sql import array, empty, fold_emit, lit, name, once, pattern
 from idcordon.functions.validators import RULES
 
 # A hit in a row: offsets in characters, place of its kind in the catalog, severity
@@ -91,9 +91,8 @@ def with_hits(
         for e, n in zip(entities, names)
     ]
     any_hit = " OR ".join(f"size({n}) > 0" for n in names)
-    return matched.select(
-        *kept, F.expr(f"if({any_hit}, concat({', '.join(spans)}), {empty(SPAN)})").alias(out)
-    )
+    hits = f"if({any_hit}, concat({', '.join(spans)}), {empty(SPAN)})"
+    return matched.selectExpr(*[name(c) for c in df.columns], once(hits, name(out)))
 
 
 def entity_type(ord_: str, options: ScanOptions = ScanOptions()) -> str:

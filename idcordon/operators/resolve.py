@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from idcordon.functions.sql import choose, empty, fold_emit, name
+from idcordon.functions.sql import choose, empty, fold_emit, name, once
 from idcordon.operators.detect import SPAN
 
 
@@ -40,4 +39,4 @@ def with_spans(df: DataFrame, hits: str = "hits", out: str = "spans") -> DataFra
     """Replace the hits by the disjoint hits that are kept."""
     h = name(hits)
     kept = choose((f"size({h}) > 1", resolve_overlaps(h)), otherwise=h)
-    return df.select(*[F.col(name(c)) for c in df.columns if c != hits], F.expr(kept).alias(out))
+    return df.selectExpr(*[name(c) for c in df.columns if c != hits], once(kept, name(out)))

@@ -271,7 +271,7 @@ def policy(responses: str, ai: int = 2, action: str = "deny") -> str:
         coalesce(json_extract(f, '$.{_URI[0]}.matchedUris'), json_extract(f, '$.{_URI[1]}.matched_uris')) AS uris,
         {_both(*_CSAM, *_STATE)} AS csam_state
       FROM unwrapped),
-    lists AS (SELECT *,
+    named AS (SELECT *,
         CASE WHEN failed THEN ['Fail-Closed Security Gate: ' || coalesce(error_message, 'Safety filter call failed.')] ELSE {none} END AS fail_closed,
         CASE WHEN NOT failed AND inj = 'MATCH_FOUND' AND {_CONF_RANK('inj_conf', 3)} >= 1
              THEN ['Prompt Injection / Jailbreak Attack Detected (Confidence: ' || inj_conf || ', Score: ' || score || ')'] ELSE {none} END AS injection,
@@ -293,7 +293,7 @@ def policy(responses: str, ai: int = 2, action: str = "deny") -> str:
       FROM states),
     ruled AS (SELECT *, CASE WHEN NOT failed AND state = 'MATCH_FOUND' AND len(injection) + len(responsible_ai)
              + len(sensitive_data) + len(malicious_uri) + len(csam) = 0
-        THEN ['Safety Filter Triggered (MATCH_FOUND)'] ELSE {none} END AS fallback FROM lists),
+        THEN ['Safety Filter Triggered (MATCH_FOUND)'] ELSE {none} END AS fallback FROM named),
     summed AS (SELECT *, fail_closed || injection || responsible_ai || sensitive_data || malicious_uri || csam || fallback AS viol,
         list_sort(list_distinct(
             CASE WHEN len(fail_closed) + len(sensitive_data) + len(csam) > 0 THEN ['RBI-ITG-SEC-01'] ELSE {none} END ||
