@@ -145,6 +145,8 @@ def chain_links(
     serial by its nature, so where some chain has several stretches the n-th stretch of every
     chain is hashed in round n and its last hash handed on through a stored table. No
     task ever holds more than single stretches, however long a chain is.
+
+    ``events`` is read twice; store it first when it comes from a scan.
     """
     head, tail = hash_parts(salt)
     stretches = (

@@ -14,6 +14,7 @@ from idcordon.operators.redact import apply_action_mode
 from idcordon.operators.report import text_report
 from idcordon.operators.turns import turn_blocks
 from idcordon.sources.records import parse_events
+from idcordon.sources.shared import stored
 
 
 def scan_table(
@@ -62,7 +63,8 @@ def guard_events(
     marked = judged.selectExpr(
         "*", f"{kind} AS kind", "event_type = 'pre_invocation' AND verdict <> 'allow' AS denied"
     )
-    flagged = turn_blocks(marked, "conversation", ts, "event_id")
+    # The turn rule reads its input twice; the texts are scanned only once.
+    flagged = turn_blocks(stored(marked, "verdicts"), "conversation", ts, "event_id")
     held = "kind = 'tool' AND blocked"
     return flagged.selectExpr(
         *[name(c) for c in judged.columns if c not in ("verdict", "stage", "reason", "risk_score")],
@@ -86,4 +88,4 @@ def guard_and_audit(
         metadata="map('source', text_source, 'tool_name', coalesce(tool_name, ''), 'stage', stage)",
         step_idx="step_idx",
     )
-    return chain_events(events, salt)
+    return chain_events(stored(events, "audit-events"), salt)

@@ -28,7 +28,7 @@ from idcordon.plans import oracle as o
 from idcordon.plans import views as v
 from idcordon.plans.guard import card_documents, guard_and_audit, guard_events
 from idcordon.sources import records, sinks
-from idcordon.sources.shared import shared_dir
+from idcordon.sources.shared import shared_dir, stored
 from idcordon.streaming.audit import stream_chain
 from idcordon.streaming.scan import stream_scan
 from idcordon.streaming.tables import drain, parquet_stream
@@ -700,11 +700,9 @@ def resume_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches, the second going on from the stored end of the first."""
     events = audit_records(spark, sf_dir)
     middle = events.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
-    path = shared_dir(spark, "resume")
     early, late = events.where(F.col("seq") <= middle), events.where(F.col("seq") > middle)
-    audit_ops.chain_links(early, o.SALT).write.parquet(path)
-    stored = spark.read.parquet(path)
-    return audit_ops.chain_links(late, o.SALT, resume=audit_ops.last_hashes(stored)).unionByName(stored)
+    first = stored(audit_ops.chain_links(early, o.SALT), "resume")
+    return audit_ops.chain_links(late, o.SALT, resume=audit_ops.last_hashes(first)).unionByName(first)
 
 
 # A trail with three kinds of harm: a changed link, changed content, a record taken out.

@@ -11,11 +11,16 @@ from idcordon.sources.shared import shared_dir
 def parquet_stream(
     spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None
 ) -> DataFrame:
-    """New files below ``path`` as a stream; the number of files bounds a micro-batch."""
+    """New files at ``path`` as a stream; the number of files bounds a micro-batch.
+
+    ``path`` may be a folder or a single file. A stream takes a single file only when a
+    glob names it, so the last character is written as a class of one.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    path = path.rstrip("/")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> str:
