@@ -16,6 +16,7 @@ from idcordon.config import ScanOptions  # noqa: E402
 from idcordon.operators import audit, report  # noqa: E402
 from idcordon.operators.redact import apply_action_mode  # noqa: E402
 from idcordon.plans import oracle, registry  # noqa: E402
+from idcordon.sources.spread import spread  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -31,9 +32,7 @@ HEADLINE = (
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan, resolve, redact and report all documents."""
     options = ScanOptions(action_mode="MASK")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    # One file of the test data is one split; spread it over the cores.
-    docs = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return apply_action_mode(report.text_report(docs, "text", options), "text", options)
 
 

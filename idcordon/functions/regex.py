@@ -21,8 +21,12 @@ _BOUNDARY = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 _LEADING_CLASS = re.compile(r"^\\b(\[(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9])+\])")
 
 
-def jvm_pattern(pattern: str) -> str:
-    """A JVM pattern with the hits that ``pattern`` has in Python."""
+def jvm_pattern(pattern: str, gaps: bool = False) -> str:
+    """A JVM pattern with the hits that ``pattern`` has in Python.
+
+    With ``gaps`` a hit also takes in the text since the hit before, as group 1; groups
+    of ``pattern`` move up by one.
+    """
     flags, lead = "U", ""
     if pattern.startswith("(?i)"):
         flags, pattern = "iU", pattern[len("(?i)"):]
@@ -35,4 +39,6 @@ def jvm_pattern(pattern: str) -> str:
         lambda m: {"b": _BOUNDARY, "s": SPACE}.get(m.group(1), m.group(0)),
         pattern,
     )
+    if gaps:
+        return rf"(?{flags})\G(?s:(.*?))(?:{lead}{spelled})"
     return f"(?{flags}){lead}{spelled}"

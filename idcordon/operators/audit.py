@@ -141,7 +141,7 @@ def chain_links(
     """Previous and own hash of each event: (chain, seq, prev_event_hash, event_hash).
 
     ``seq`` is unique and rises inside a chain. Events are turned into the text to be hashed
-    in parallel and gathered by stretches of at most ``stretch`` events. A chain is
+    in parallel and gathered by stretches of fewer than twice ``stretch`` events. A chain is
     serial by its nature, so where some chain has several stretches the n-th stretch of every
     chain is hashed in round n and its last hash handed on through a stored table. No
     task ever holds more than single stretches, however long a chain is.
@@ -149,16 +149,20 @@ def chain_links(
     ``events`` is read twice; store it first when it comes from a scan.
     """
     head, tail = hash_parts(salt)
-    stretches = (
-        events.selectExpr(
-            name(chain), f"cast({name(seq)} AS bigint) AS seq",
-            f"{name(seq)} div {stretch} AS _stretch", f"{head} AS head", f"{tail} AS tail",
-        )
-        .groupBy(chain, "_stretch")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "head", "tail"))).alias("items"))
+    prepared = events.selectExpr(
+        name(chain), f"cast({name(seq)} AS bigint) AS seq",
+        f"{name(seq)} div {stretch} AS _slice", f"{head} AS head", f"{tail} AS tail",
+    )
+    # Few rows per chain: slices of the sequence, packed into stretches by their counts.
+    before = f"sum(count) OVER (PARTITION BY {name(chain)} ORDER BY _slice) - count"
+    index = (
+        events.selectExpr(name(chain), f"{name(seq)} div {stretch} AS _slice")
+        .groupBy(chain, "_slice")
+        .count()
+        .selectExpr(name(chain), "_slice", f"({before}) div {stretch} AS round")
     )
-    index = events.selectExpr(name(chain), f"{name(seq)} div {stretch} AS _stretch").distinct()
-    longest = index.groupBy(chain).count().agg(F.max("count")).first()[0] or 0
+    rounds = (index.agg(F.max("round")).first()[0] or 0) + 1
+    gathered = F.sort_array(F.collect_list(F.struct("seq", "head", "tail"))).alias("items")
 
     def joined(part: DataFrame, last: DataFrame | None) -> DataFrame:
         if last is None:
@@ -167,22 +171,18 @@ def chain_links(
             *part.columns, F.coalesce("last_hash", F.lit(GENESIS)).alias("_first")
         )
 
-    if longest <= 1:
-        return _links(joined(stretches.drop("_stretch"), resume), chain, "_first")
+    if rounds == 1:
+        return _links(joined(prepared.groupBy(chain).agg(gathered), resume), chain, "_first")
 
     spark = events.sparkSession
     base = shared_dir(spark, "chain")
-    numbered = index.selectExpr(
-        "*", f"row_number() OVER (PARTITION BY {name(chain)} ORDER BY _stretch) - 1 AS round"
-    )
-    stretches.join(numbered, [chain, "_stretch"]).drop("_stretch").write.partitionBy("round").parquet(
-        f"{base}/stretches"
-    )
-    stored = spark.read.parquet(f"{base}/stretches")
+    stretches = prepared.join(index, [chain, "_slice"]).groupBy(chain, "round").agg(gathered)
+    stretches.write.partitionBy("round").parquet(f"{base}/stretches")
+    kept = spark.read.parquet(f"{base}/stretches")
     last = resume
-    for n in range(longest):
+    for n in range(rounds):
         out = f"{base}/links/part={n}"
-        part = stored.where(F.col("round") == n).drop("round")
+        part = kept.where(F.col("round") == n).drop("round")
         _links(joined(part, last), chain, "_first").write.parquet(out)
         last = last_hashes(spark.read.parquet(out), chain)
     return spark.read.parquet(f"{base}/links").drop("part")

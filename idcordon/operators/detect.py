@@ -30,16 +30,18 @@ def _passes(text: str, gate: str) -> str:
 
 def _spans(text: str, hits: str, entity: Entity, ord_: int, strict: bool) -> str:
     """Offsets, check and mask of the hits of one kind."""
-    regex = pattern(jvm_pattern(entity.pattern))
+    # One compiled pattern serves all rows; ``split`` would compile anew for each.
+    regex = pattern(jvm_pattern(entity.pattern, gaps=True))
+    gaps = f"regexp_extract_all({text}, {regex}, 1)"
     values = f"transform({hits}, h -> named_struct('hit', h, 'value', h))"
     if entity.context:
         # In every pattern with context the group ends where the hit ends.
         values = (
-            f"zip_with({hits}, regexp_extract_all({text}, {regex}, 1), "
+            f"zip_with({hits}, regexp_extract_all({text}, {regex}, 2), "
             "(h, g) -> named_struct('hit', h, 'value', if(g = '', h, g)))"
         )
     parts = (
-        f"zip_with({values}, slice(split({text}, {regex}, -1), 1, size({hits})), "
+        f"zip_with({values}, {gaps}, "
         "(v, gap) -> named_struct('advance', length(gap) + length(v.hit), 'value', v.value))"
     )
     placed = fold_emit(

@@ -29,6 +29,7 @@ from idcordon.plans import views as v
 from idcordon.plans.guard import card_documents, guard_and_audit, guard_events
 from idcordon.sources import records, sinks
 from idcordon.sources.shared import shared_dir, stored
+from idcordon.sources.spread import spread
 from idcordon.streaming.audit import stream_chain
 from idcordon.streaming.scan import stream_scan
 from idcordon.streaming.tables import drain, parquet_stream
@@ -302,7 +303,7 @@ def strict_off(spark: SparkSession, sf_dir: str) -> DataFrame:
            head || substr(text, tail + 1) AS redacted_text FROM sums JOIN texts USING (text_id)""")
 def card_documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: documents with a valid payment card number, redacted."""
-    return card_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return card_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 # --- validity ---------------------------------------------------------------------

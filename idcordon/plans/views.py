@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from idcordon.sources.spread import spread
+
 
 @dataclass(frozen=True)
 class View:
@@ -19,7 +21,7 @@ class View:
     where: str | None = None
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
+        df = spread(spark.read.parquet(f"{sf_dir}/{self.table}.parquet"))
         for layer in self.layers:
             df = df.selectExpr(*layer)
         return df.where(self.where) if self.where else df

@@ -1,0 +1,15 @@
+"""Use all cores for inputs of few splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the rows when the input has fewer splits than there are cores.
+
+    Scans and parsing are bound by the processor, and a small file is one split. Large
+    inputs have many splits and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
