@@ -78,11 +78,6 @@ def extract_text(
     Tried in order: named tool arguments, all scalar tool arguments, the latest user
     prompt of the transcript (``prompts``: transcript_path, latest_prompt), keys of the event.
     """
-    joined = events.select("*", F.lit(None).cast("string").alias("latest_prompt"))
-    if prompts is not None:
-        joined = events.join(
-            prompts.select("transcript_path", "latest_prompt"), "transcript_path", "left"
-        )
     args = "try_variant_get(event, '$.toolCall.args', 'map<string,variant>')"
     # A variant sorts its keys; the JSON text keeps the order of the document.
     order = f"json_object_keys(get_json_object({name(payload)}, '$.toolCall.args'))"
@@ -106,33 +101,41 @@ def extract_text(
             for k in PROMPT_KEYS
         ]
     )
-    return (
-        joined.selectExpr(
-            "*",
-            f"{args} AS _args",
-            f"{order} AS _order",
-            f"{first_key} AS _key",
+    # All that needs the event is taken out first, so that only the texts are joined.
+    read = events.selectExpr(
+        "*", f"{args} AS _args", f"{order} AS _order", f"{first_key} AS _key"
+    ).selectExpr(
+        "*",
+        f"{strings} AS _named",
+        f"{everything} AS _all",
+        f"{direct} AS _direct",
+        # Events without a transcript must not all meet in one partition of the join.
+        f"coalesce(transcript_path, concat('none:', hex(xxhash64({name(payload)})))) AS _path",
+    )
+    if prompts is None:
+        joined = read.selectExpr("*", "cast(NULL AS string) AS latest_prompt")
+    else:
+        latest = prompts.selectExpr("transcript_path AS _path", "latest_prompt")
+        joined = read.join(latest, "_path", "left")
+    from_transcript = "transcript_path <> '' AND latest_prompt <> ''"
+    return joined.selectExpr(
+        *[name(c) for c in events.columns],
+        choose(
+            ("_named <> ''", "_named"),
+            ("size(_all) > 0", "array_join(_all, ' ')"),
+            (from_transcript, "latest_prompt"),
+            ("_key IS NOT NULL", "_direct"),
+            otherwise="''",
         )
-        .selectExpr("*", f"{strings} AS _named", f"{everything} AS _all", f"{direct} AS _direct")
-        .selectExpr(
-            *[name(c) for c in joined.columns],
-            choose(
-                ("_named <> ''", "_named"),
-                ("size(_all) > 0", "array_join(_all, ' ')"),
-                ("latest_prompt <> ''", "latest_prompt"),
-                ("_key IS NOT NULL", "_direct"),
-                otherwise="''",
-            )
-            + " AS scan_text",
-            choose(
-                ("_named <> ''", "concat('tool_args:', coalesce(tool_name, 'None'))"),
-                ("size(_all) > 0", "concat('tool_args_all:', coalesce(tool_name, 'None'))"),
-                ("latest_prompt <> ''", "'transcript:user_input'"),
-                ("_key IS NOT NULL", "concat('payload:', _key)"),
-                otherwise="'empty'",
-            )
-            + " AS text_source",
+        + " AS scan_text",
+        choose(
+            ("_named <> ''", "concat('tool_args:', coalesce(tool_name, 'None'))"),
+            ("size(_all) > 0", "concat('tool_args_all:', coalesce(tool_name, 'None'))"),
+            (from_transcript, "'transcript:user_input'"),
+            ("_key IS NOT NULL", "concat('payload:', _key)"),
+            otherwise="'empty'",
         )
+        + " AS text_source",
     )
 
 

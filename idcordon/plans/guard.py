@@ -71,7 +71,8 @@ def guard_events(
         f"CASE WHEN {held} THEN 'deny' WHEN kind = 'post' THEN 'allow' "
         "WHEN kind = 'prompt' AND verdict <> 'allow' THEN 'deny' ELSE verdict END AS verdict",
         f"CASE WHEN {held} THEN 'turn' WHEN kind = 'post' THEN 'skipped' ELSE stage END AS stage",
-        f"CASE WHEN {held} THEN 'Turn is blocked by an earlier denial.' ELSE reason END AS reason",
+        f"CASE WHEN {held} THEN 'Turn is blocked by an earlier denial.' "
+        "WHEN kind = 'post' THEN 'No text to scan.' ELSE reason END AS reason",
         f"CASE WHEN {held} OR kind = 'post' THEN 0.0D ELSE risk_score END AS risk_score",
         "terminate",
     )

@@ -792,7 +792,27 @@ def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- whole jobs -------------------------------------------------------------------
 
-@register("guard_events")
+_EVENT_TEXTS = f"""SELECT CAST(event_id AS STRING) AS text_id, '' AS grp, scan_text AS text FROM (
+    WITH {o.extracted()} SELECT event_id, scan_text FROM ex)"""
+
+
+@register("guard_events", o.gated(o.reports(_EVENT_TEXTS), EVENT_RESPONSES.sql(), "CAST(r.text_id AS BIGINT)", ask=True) + f""",
+    {o.events()},
+    kinds_of AS (SELECT CAST(event_id AS STRING) AS text_id, ts, {o.EVENT_KIND} AS event_type,
+        regexp_replace(coalesce(json_extract_string(j, '$.conversationId'), 'unknown'), '[^A-Za-z0-9_-]', '', 'g') AS c FROM ev),
+    both_of AS (SELECT v.*, ts, event_type, CASE WHEN c IN ('', 'unknown') THEN 'default' ELSE c END AS conversation
+        FROM verdicts v JOIN kinds_of USING (text_id)),
+    marked_of AS (SELECT *, last_value(CASE WHEN event_type <> 'pre_tool_use' THEN
+            struct_pack(hot := event_type = 'pre_invocation' AND verdict <> 'allow', at := ts) END IGNORE NULLS)
+        OVER (PARTITION BY conversation ORDER BY ts, CAST(text_id AS BIGINT) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM both_of),
+    held_of AS (SELECT *, coalesce(was.hot AND date_diff('microsecond', was.at, ts) < 300000000, false) AS hot FROM marked_of)
+    SELECT CAST(text_id AS BIGINT) AS event_id, conversation, event_type,
+        CASE event_type WHEN 'pre_tool_use' THEN CASE WHEN hot THEN 'deny' ELSE verdict END WHEN 'post_invocation' THEN 'allow' ELSE verdict END AS verdict,
+        CASE WHEN event_type = 'pre_tool_use' AND hot THEN 'turn' WHEN event_type = 'post_invocation' THEN 'skipped' ELSE stage END AS stage,
+        CASE WHEN event_type = 'pre_tool_use' AND hot THEN 'Turn is blocked by an earlier denial.'
+             WHEN event_type = 'post_invocation' THEN 'No text to scan.' ELSE gate_reason END AS reason,
+        CASE WHEN event_type = 'post_invocation' OR (event_type = 'pre_tool_use' AND hot) THEN 0.0 ELSE gate_risk END::DOUBLE AS risk_score,
+        event_type = 'post_invocation' AND hot AS terminate FROM held_of""")
 def guard_events_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     payloads = v.PAYLOADS.frame(spark, sf_dir).select("event_id", "ts", "payload")
     answers = EVENT_RESPONSES.frame(spark, sf_dir).withColumnRenamed("k", "event_id")
