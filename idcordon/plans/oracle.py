@@ -421,14 +421,16 @@ def _escaped(x: str) -> str:
     return x
 
 
+ISO = (
+    "strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' "
+    "ELSE '.' || lpad(CAST(microsecond(ts) % 1000000 AS STRING), 6, '0') END || '+00:00'"
+)
+
+
 def audit() -> str:
     """CTEs up to ``au``: audit records with the text around their link."""
-    iso = (
-        "strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' "
-        "ELSE '.' || lpad(CAST(microsecond(ts) % 1000000 AS STRING), 6, '0') END || '+00:00'"
-    )
     return f"""records AS ({v.AUDIT.sql()}),
-    stamped AS (SELECT *, {iso} AS stamp FROM records),
+    stamped AS (SELECT *, {ISO} AS stamp FROM records),
     au AS (SELECT *, '{{"conversation_id": "' || conversation_id || '", "decision": "' || decision || '", "detected_violations": ["' ||
         {_escaped('violation')} || '"], "event_id": "' || event_id || '", "hook_name": "' || hook_name || '", "prev_event_hash": "' AS head,
         '", "risk_score": ' || CAST(CAST(risk AS DOUBLE) AS STRING) || ', "salt": "{SALT}", "step_idx": ' || coalesce(CAST(step_idx AS STRING), 'null')

@@ -796,23 +796,27 @@ _EVENT_TEXTS = f"""SELECT CAST(event_id AS STRING) AS text_id, '' AS grp, scan_t
     WITH {o.extracted()} SELECT event_id, scan_text FROM ex)"""
 
 
-@register("guard_events", o.gated(o.reports(_EVENT_TEXTS), EVENT_RESPONSES.sql(), "CAST(r.text_id AS BIGINT)", ask=True) + f""",
+_GUARDED = o.gated(o.reports(_EVENT_TEXTS), EVENT_RESPONSES.sql(), "CAST(r.text_id AS BIGINT)", ask=True) + f""",
     {o.events()},
     kinds_of AS (SELECT CAST(event_id AS STRING) AS text_id, ts, {o.EVENT_KIND} AS event_type,
+        CAST(json_extract_string(j, '$.stepIdx') AS BIGINT) AS step_idx,
         regexp_replace(coalesce(json_extract_string(j, '$.conversationId'), 'unknown'), '[^A-Za-z0-9_-]', '', 'g') AS c FROM ev),
-    both_of AS (SELECT v.*, ts, event_type, CASE WHEN c IN ('', 'unknown') THEN 'default' ELSE c END AS conversation
+    both_of AS (SELECT v.*, ts, event_type, step_idx, CASE WHEN c IN ('', 'unknown') THEN 'default' ELSE c END AS conversation
         FROM verdicts v JOIN kinds_of USING (text_id)),
     marked_of AS (SELECT *, last_value(CASE WHEN event_type <> 'pre_tool_use' THEN
             struct_pack(hot := event_type = 'pre_invocation' AND verdict <> 'allow', at := ts) END IGNORE NULLS)
         OVER (PARTITION BY conversation ORDER BY ts, CAST(text_id AS BIGINT) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM both_of),
-    held_of AS (SELECT *, coalesce(was.hot AND date_diff('microsecond', was.at, ts) < 300000000, false) AS hot FROM marked_of)
-    SELECT CAST(text_id AS BIGINT) AS event_id, conversation, event_type,
+    held_of AS (SELECT *, coalesce(was.hot AND date_diff('microsecond', was.at, ts) < 300000000, false) AS hot FROM marked_of),
+    final_of AS (SELECT CAST(text_id AS BIGINT) AS event_id, text_id, conversation, event_type, ts, step_idx, p_decision, viol,
         CASE event_type WHEN 'pre_tool_use' THEN CASE WHEN hot THEN 'deny' ELSE verdict END WHEN 'post_invocation' THEN 'allow' ELSE verdict END AS verdict,
         CASE WHEN event_type = 'pre_tool_use' AND hot THEN 'turn' WHEN event_type = 'post_invocation' THEN 'skipped' ELSE stage END AS stage,
         CASE WHEN event_type = 'pre_tool_use' AND hot THEN 'Turn is blocked by an earlier denial.'
              WHEN event_type = 'post_invocation' THEN 'No text to scan.' ELSE gate_reason END AS reason,
         CASE WHEN event_type = 'post_invocation' OR (event_type = 'pre_tool_use' AND hot) THEN 0.0 ELSE gate_risk END::DOUBLE AS risk_score,
-        event_type = 'post_invocation' AND hot AS terminate FROM held_of""")
+        event_type = 'post_invocation' AND hot AS terminate FROM held_of)"""
+
+
+@register("guard_events", f"{_GUARDED} SELECT event_id, conversation, event_type, verdict, stage, reason, risk_score, terminate FROM final_of")
 def guard_events_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     payloads = v.PAYLOADS.frame(spark, sf_dir).select("event_id", "ts", "payload")
     answers = EVENT_RESPONSES.frame(spark, sf_dir).withColumnRenamed("k", "event_id")
@@ -820,7 +824,24 @@ def guard_events_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("event_id", "conversation", "event_type", "verdict", "stage", "reason", "risk_score", "terminate")
 
 
-@register("guard_and_audit")
+@register("guard_and_audit", f"""{_GUARDED},
+    shown AS (SELECT text_id, list({o._NAME} || ' (' || m || ')' ORDER BY n) AS found FROM kept GROUP BY text_id),
+    logged AS (SELECT conversation AS chain_id, event_id AS seq, row_number() OVER (PARTITION BY conversation ORDER BY event_id) AS n,
+        CASE WHEN stage = 'policy' THEN coalesce(p_decision, 'deny') ELSE verdict END AS decision, step_idx, risk_score,
+        'FSI-' || upper(left(sha256(conversation || '|' || event_id || '|guard'), 12)) AS audit_id,
+        array_to_string(CASE stage WHEN 'identifiers' THEN found ELSE coalesce(viol, ['Fail-Closed Security Gate: {o.NO_ANSWER}']) END, '", "') AS listed,
+        {o.ISO} AS stamp
+      FROM final_of LEFT JOIN shown USING (text_id) WHERE verdict <> 'allow' AND stage <> 'turn'),
+    texts_of AS (SELECT *, '{{"conversation_id": "' || chain_id || '", "decision": "' || decision || '", "detected_violations": ["' || listed
+        || '"], "event_id": "' || audit_id || '", "hook_name": "guard", "prev_event_hash": "' AS head,
+        '", "risk_score": ' || CAST(risk_score AS STRING) || ', "salt": "{o.SALT}", "step_idx": ' || coalesce(CAST(step_idx AS STRING), 'null')
+        || ', "timestamp_utc": "' || stamp || '"}}' AS tail FROM logged),
+    links AS (
+        SELECT chain_id, seq, n, '{o.GENESIS}' AS prev_event_hash, sha256(head || '{o.GENESIS}' || tail) AS event_hash FROM texts_of WHERE n = 1
+        UNION ALL
+        SELECT x.chain_id, x.seq, x.n, l.event_hash, sha256(x.head || l.event_hash || x.tail)
+        FROM links l JOIN texts_of x ON x.chain_id = l.chain_id AND x.n = l.n + 1)
+    SELECT chain_id, seq, audit_id AS event_id, decision, prev_event_hash, event_hash FROM links JOIN logged USING (chain_id, seq)""")
 def guard_and_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     payloads = v.PAYLOADS.frame(spark, sf_dir).select("event_id", "ts", "payload")
     answers = EVENT_RESPONSES.frame(spark, sf_dir).withColumnRenamed("k", "event_id")
