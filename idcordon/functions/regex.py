@@ -16,29 +16,22 @@ WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x1c-\x1f]"
 _BOUNDARY = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
-# A boundary followed by a class of plain letters and digits. The class is tested
-# first: it fails at most positions and costs less than the look-behind.
-_LEADING_CLASS = re.compile(r"^\\b(\[(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9])+\])")
 
-
-def jvm_pattern(pattern: str, gaps: bool = False) -> str:
+def jvm_pattern(pattern: str, lead: str | None = None, gaps: bool = False) -> str:
     """A JVM pattern with the hits that ``pattern`` has in Python.
 
+    ``lead`` is something that every hit starts with, tested before the rest.
     With ``gaps`` a hit also takes in the text since the hit before, as group 1; groups
     of ``pattern`` move up by one.
     """
-    flags, lead = "U", ""
+    flags, first = "U", f"(?={lead})" if lead else ""
     if pattern.startswith("(?i)"):
         flags, pattern = "iU", pattern[len("(?i)"):]
-    starts = _LEADING_CLASS.match(pattern)
-    if starts:
-        lead = rf"(?={starts.group(1)})(?<!{WORD})"
-        pattern = pattern[len(r"\b"):]
     spelled = re.sub(
         r"\\(.)",
         lambda m: {"b": _BOUNDARY, "s": SPACE}.get(m.group(1), m.group(0)),
         pattern,
     )
     if gaps:
-        return rf"(?{flags})\G(?s:(.*?))(?:{lead}{spelled})"
-    return f"(?{flags}){lead}{spelled}"
+        return rf"(?{flags})\G(?s:(.*?))(?:{first}(?:{spelled}))"
+    return f"(?{flags}){first}(?:{spelled})"

@@ -31,7 +31,7 @@ def _passes(text: str, gate: str) -> str:
 def _spans(text: str, hits: str, entity: Entity, ord_: int, strict: bool) -> str:
     """Offsets, check and mask of the hits of one kind."""
     # One compiled pattern serves all rows; ``split`` would compile anew for each.
-    regex = pattern(jvm_pattern(entity.pattern, gaps=True))
+    regex = pattern(jvm_pattern(entity.pattern, entity.lead, gaps=True))
     gaps = f"regexp_extract_all({text}, {regex}, 1)"
     values = f"transform({hits}, h -> named_struct('hit', h, 'value', h))"
     if entity.context:
@@ -80,7 +80,7 @@ def with_hits(
     )
 
     def found(e: Entity) -> str:
-        every = f"regexp_extract_all({text}, {pattern(jvm_pattern(e.pattern))}, 0)"
+        every = f"regexp_extract_all({text}, {pattern(jvm_pattern(e.pattern, e.lead))}, 0)"
         return f"if({gates[e.gate]}, {every}, NULL)" if e.gate else every
 
     names = [f"_hits_{i}" for i in range(len(entities))]
