@@ -1,15 +1,21 @@
-"""Use all cores for inputs of few splits."""
+"""Use all cores for small inputs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# Above this size (bytes) an input keeps its own splits.
+SMALL = 1 << 30
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread the rows when the input has fewer splits than there are cores.
 
-    Scans and parsing are bound by the processor, and a small file is one split. Large
-    inputs have many splits and are left as they are, without a shuffle.
+def spread(df: DataFrame, small: int = SMALL) -> DataFrame:
+    """Spread the rows of a small input that has fewer splits than there are cores.
+
+    Scans and parsing are bound by the processor, and a small file is one split. The size
+    is checked first: a large input is never shuffled for this.
     """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if size > small or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

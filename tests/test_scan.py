@@ -150,3 +150,21 @@ def test_catalog_file(spark, tmp_path):
     got = scan_spans(frame(spark, ["B12 ABCPE1234F ABCDE1234F"]), ["id"], "text", options).collect()
     assert [(r.entity_type, r.start_index, r.masked_value) for r in got] == [
         ("B_CODE", 0, "[REDACTED_B_CODE]"), ("PAN", 4, "ABXXXXX34F")]
+
+
+def test_only_small_inputs_are_spread(spark, tmp_path):
+    from idcordon.sources.spread import spread
+
+    spark.range(50).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(df, small=1).rdd.getNumPartitions() == 1
+    assert spread(df.repartition(9)).rdd.getNumPartitions() == 9
+
+
+def test_a_custom_pattern_keeps_its_alternatives(spark):
+    from idcordon.functions.catalog import Entity
+
+    mine = Entity("X", "x", "NATIONAL_ID", "HIGH", (), r"\b[A-Z]?\d{3}\b|zz")
+    got = scan_spans(frame(spark, ["A123 456 zz B7"]), ["id"], "text", ScanOptions(catalog=(mine,)))
+    assert [(r.start_index, r.end_index) for r in got.orderBy("start_index").collect()] == [(0, 4), (5, 8), (9, 11)]
