@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from idcordon.llm import chat as _chat
 from idcordon.llm import mix as _mix
+from idcordon.llm import setjoin as _setjoin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix.taken(_mix.mix(_table(spark, sf_dir, "documents"))).drop("source")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _setjoin.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame(
@@ -30,6 +35,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
+    "op3_jaccard_join": op3_jaccard_join,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {}
