@@ -4,18 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idcordon.llm import chat as _chat
+from idcordon.llm import ctw as _ctw
+from idcordon.llm import decontam as _decontam
 from idcordon.llm import mix as _mix
+from idcordon.llm import quality as _quality
+from idcordon.llm import rindex as _rindex
 from idcordon.llm import setjoin as _setjoin
+from idcordon.llm import syncmers as _syncmers
+from idcordon.llm import toxicity as _toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _crc_is(parts: int, value: int) -> Column:
+    """Whether crc32 of the id's digits leaves that remainder; a null id doesn't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == value, F.lit(False))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _quality.score(docs, _quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix.taken(_mix.mix(_table(spark, sf_dir, "documents"))).drop("source")
 
@@ -24,6 +40,29 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _setjoin.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = _crc_is(4, 2)
+    scored = _toxicity.score(docs, _toxicity.train(docs, labels, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op7_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ctw.score(_table(spark, sf_dir, "documents"), _crc_is(5, 1))
+
+
+def op8_syncmer_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _syncmers.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op9_rindex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rindex.removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame(
@@ -34,8 +73,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_source_mix": op2_source_mix,
     "op3_jaccard_join": op3_jaccard_join,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_toxicity": op6_toxicity,
+    "op7_ctw_score": op7_ctw_score,
+    "op8_syncmer_fingerprint": op8_syncmer_fingerprint,
+    "op9_rindex_dedup": op9_rindex_dedup,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {}

@@ -47,7 +47,7 @@ class JaccardOptions:
     frequent: so many of the most frequent shingles come last in the order; any number gives the
     same links. part: lists of known longer shingles are dealt to several tasks of about so many.
     crowd: from this list length on, coverage by other sets is counted. light_limit: the boundary
-    is looked for up to this size.
+    is looked for up to this size. sieve_bits: of the bitmap that spares texts a shuffle.
     """
 
     words: int = 5
@@ -57,6 +57,7 @@ class JaccardOptions:
     crowd: int = 32
     light_limit: int = 64
     count_shingles: int = 1 << 22
+    sieve_bits: int = 1 << 24
 
 
 def alpha(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -284,29 +285,46 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- comparing
 
 
+def _sieve(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """(word, mask): a bitmap of the keys' hashes; bits / 64 rows at most, however many keys there are."""
+    bit = F.pmod(F.col(key), F.lit(bits))
+    return keys.groupBy(F.floor(bit / 64).cast("int").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(pmod({key}, 64) AS INT)))").alias("mask"))
+
+
 def _sets_of(docs: DataFrame, signed: DataFrame, wanted: DataFrame, options: JaccardOptions) -> DataFrame:
-    """(set_id, shingles): the sorted shingles of the wanted classes, as bytes."""
+    """(set_id, shingles): the sorted shingles of the wanted classes, as bytes.
+
+    Texts are joined by content; a bitmap of fixed size, sent to all tasks, first drops most of the others.
+    """
     place = F.struct("content", "doc_id")
     one = (
         signed.join(wanted, "set_id", "left_semi")
         .groupBy("set_id").agg(F.min(place).alias("at"))
-        .select(F.col("at.content").alias("content"), F.col("at.doc_id").alias("the_id")).distinct()
+        .select(F.col("at.content").alias("of_content"), F.col("at.doc_id").alias("the_id")).distinct()
     )
+    one = stored(one, "wanted")
+    sieve = F.broadcast(_sieve(one, "of_content", options.sieve_bits))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("content")).where(F.col("text").isNotNull())
-    found = texts.join(one, (texts["content"] == one["content"]) & texts["doc_id"].eqNullSafe(one["the_id"]), "left_semi")
+    bit = F.pmod(F.col("content"), F.lit(options.sieve_bits))
+    texts = texts.join(sieve, F.floor(bit / 64).cast("int") == F.col("word")).where(
+        F.expr("mask & shiftleft(1L, CAST(pmod(content, 64) AS INT)) <> 0")
+    )
+    found = texts.join(one, (F.col("content") == F.col("of_content")) & F.col("doc_id").eqNullSafe(F.col("the_id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows come to one task
         for b in batches:
             for block in W.blocks(b["text"]):
                 text, value = text_sets(block, options.words)
                 _, starts, n = _bounds(text)
                 ids = set_ids(n, starts, value)
+                fresh = [k for k, i in enumerate(ids.tolist()) if i not in seen and not seen.add(i)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array([value[s : s + k].tobytes() for s, k in zip(starts, n)], pa.binary())],
+                    [pa.array(ids[fresh]), pa.array([value[starts[k] : starts[k] + n[k]].tobytes() for k in fresh], pa.binary())],
                     names=["set_id", "shingles"],
                 )
 
-    return found.select("text").mapInArrow(run, "set_id long, shingles binary").dropDuplicates(["set_id"])
+    return found.select("text").mapInArrow(run, "set_id long, shingles binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, options: JaccardOptions) -> DataFrame:
@@ -327,9 +345,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, options: JaccardOptions) -> DataF
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _covered(lists: DataFrame, sets: DataFrame, options: JaccardOptions) -> DataFrame:
-    """(set_id, covered): shingles of a class that another class of the crowds has too; classes of long lists only."""
-    crowd = lists.where((F.col("length") >= options.crowd) | (F.col("part") >= 0)).select("set_id").distinct()
+def _covered(sets: DataFrame) -> DataFrame:
+    """(set_id, covered): how many shingles of a set another of these sets has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -337,25 +354,43 @@ def _covered(lists: DataFrame, sets: DataFrame, options: JaccardOptions) -> Data
                 value = np.frombuffer(data.as_buffer(), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), who)), pa.array(value)], names=["set_id", "shingle"])
 
-    flat = sets.join(crowd, "set_id", "left_semi").mapInArrow(run, "set_id long, shingle long")
+    flat = sets.mapInArrow(run, "set_id long, shingle long")
     common = flat.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").select("shingle")
-    return crowd.join(flat.join(common, "shingle").groupBy("set_id").agg(F.count("*").alias("covered")), "set_id", "left").select(
-        "set_id", F.coalesce("covered", F.lit(0)).alias("covered")
-    )
+    return flat.join(common, "shingle").groupBy("set_id").agg(F.count("*").cast("int").alias("covered"))
 
 
 def _possible(small: str, large: str, options: JaccardOptions) -> Column:
-    """Whether sizes and coverage of two classes allow a link."""
+    """Whether sizes and shared prefixes of two classes allow a link.
+
+    Of two heavy sets, the shingles they have in common are at most the shared ones of either
+    prefix and all behind the prefix of one of them.
+    """
     p = options.percent
     return F.expr(
-        f"100 * {small}.n >= {p} * {large}.n AND "
-        f"(100 + {p}) * least({small}.covered, {large}.covered) >= {p} * ({small}.n + {large}.n)"
+        f"100 * {small}.n >= {p} * {large}.n AND (100 + {p}) * (least({small}.shared, {large}.shared) + "
+        f"greatest({small}.rest, {large}.rest)) >= {p} * ({small}.n + {large}.n)"
     )
 
 
+def _placed(lists: DataFrame, light: int, options: JaccardOptions) -> DataFrame:
+    """The lists with ``shared`` (prefix shingles of the class that are in lists) and ``rest`` (those behind the prefix).
+
+    A light class isn't in all lists of its prefix, so nothing is concluded from what it shares.
+    """
+    p = options.percent
+    partner = f"(({p} * n + 99) div 100)"
+    prefix = f"(n - (({p} * (n + {partner}) + {99 + p}) div {100 + p}) + 1)"
+    shared = lists.groupBy("set_id").agg(F.count("*").cast("int").alias("lists"))
+    return lists.join(shared, "set_id").selectExpr(
+        "key", "part", "set_id", "n", "tag", "length",
+        f"CASE WHEN n <= {light} THEN n ELSE least(lists, {prefix}) END AS shared",
+        f"CASE WHEN n <= {light} THEN n ELSE n - {prefix} END AS rest",
+    )
+
+
 def set_links(docs: DataFrame, signed: DataFrame, options: JaccardOptions) -> DataFrame:
     """(a, b): enough linked classes to connect all that are linked, directly or through others."""
-    spark = docs.sparkSession
+    p = options.percent
     classes = signed.where("set_id IS NOT NULL").select("set_id", "n_shingles").distinct()
     counted = stored(_counted(docs, options), "shingle-counts")
     often = (
@@ -367,48 +402,55 @@ def set_links(docs: DataFrame, signed: DataFrame, options: JaccardOptions) -> Da
     order = _Order(often["shingle"].to_numpy().view(_U), often["count"].to_numpy(), light)
 
     lists = stored(_shared_lists(_postings(docs, order, options)), "lists")
-    sets = stored(_sets_of(docs, signed, lists.select("set_id").distinct(), options), "sets")
-    cover = _covered(lists, sets, options)
-    full = stored(
-        lists.join(cover, "set_id", "left").select(
-            "key", "part", "set_id", "n", "tag", F.coalesce("covered", "n").cast("int").alias("covered")
-        ),
-        "covered",
-    )
+    full = stored(_placed(lists, light, options), "placed")
 
     # Every class with the best covered one of its list, the parts of a long list with each other's best.
-    me = F.struct((F.col("covered") / F.col("n")).alias("share"), "set_id", "n", "covered")
+    me = F.struct(((F.col("shared") + F.col("rest")) / F.col("n")).alias("share"), "set_id", "n", "shared", "rest")
     heads = full.groupBy("key", "part").agg(F.max(me).alias("head"))
     tops = heads.where("part >= 0").groupBy("key").agg(F.max("head").alias("top")).join(heads.where("part >= 0"), "key")
-    ranked = full.join(heads, ["key", "part"]).select(F.struct("set_id", "n", "covered").alias("x"), F.col("head").alias("y"))
+    ranked = full.join(heads, ["key", "part"]).select(F.struct("set_id", "n", "shared", "rest").alias("x"), F.col("head").alias("y"))
     stars = (
-        ranked.unionByName(tops.select(F.struct("head.set_id", "head.n", "head.covered").alias("x"), F.col("top").alias("y")))
+        ranked.unionByName(tops.select(F.struct("head.set_id", "head.n", "head.shared", "head.rest").alias("x"), F.col("top").alias("y")))
         .where("x.set_id <> y.set_id")
         .where((F.expr("x.n <= y.n") & _possible("x", "y", options)) | (F.expr("x.n > y.n") & _possible("y", "x", options)))
         .select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
         .distinct()
     )
     stars = stored(stars, "stars")
+    crowd = full.where((F.col("length") >= options.crowd) | (F.col("part") >= 0)).select("set_id").distinct()
+    ends = stars.select(F.col("a").alias("set_id")).unionByName(stars.select(F.col("b").alias("set_id")))
+    sets = stored(_sets_of(docs, signed, ends.unionByName(crowd).distinct(), options), "sets")
     links = stored(_linked(stars, sets, options), "linked")
 
     # What the stars left apart: classes of different components that share a list.
     known = stored(components(links), "parts")
-    apart = full.join(known.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    able = apart.where(f"(100 + {options.percent}) * covered >= {options.percent} * (n + ceil({options.percent} * n / 100.0))")
-    split = able.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    able = stored(able.join(split, "key").drop("part"), "apart")
+    apart = full.drop("part").join(known.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    split = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    apart = stored(apart.join(split, "key"), "apart")
+    # In crowds, only classes of which others have enough shingles can link.
+    crowded = stored(crowd.join(apart.select("set_id").distinct(), "set_id"), "crowd")
+    cover = _covered(sets.join(crowded, "set_id", "left_semi"))
+    cover = stored(crowded.join(cover, "set_id", "left").select("set_id", F.coalesce("covered", F.lit(0)).alias("covered")), "covered")
+    able = stored(
+        apart.join(cover, "set_id", "left").withColumn("covered", F.coalesce("covered", "n"))
+        .where(f"(100 + {p}) * covered >= {p} * (n + ({p} * n + 99) div 100)"), "able",
+    )
     pairs = (
         able.alias("s")
         .join(
             able.alias("l"),
             F.expr("s.key = l.key AND s.tag AND s.component <> l.component AND (s.n < l.n OR s.n = l.n AND s.set_id < l.set_id)")
-            & _possible("s", "l", options),
+            & _possible("s", "l", options)
+            & F.expr(f"(100 + {p}) * least(s.covered, l.covered) >= {p} * (s.n + l.n)"),
         )
         .select(F.least("s.set_id", "l.set_id").alias("a"), F.greatest("s.set_id", "l.set_id").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    return links.unionByName(_linked(pairs, sets, options))
+    pairs = stored(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    more = _sets_of(docs, signed, ends, options)
+    return links.unionByName(_linked(pairs, stored(more, "sets"), options))
 
 
 def jaccard_components(docs: DataFrame, options: JaccardOptions | None = None) -> DataFrame:

@@ -92,8 +92,9 @@ class Words:
     first: np.ndarray  # index of each text's first word, and the number of words
 
 
-def split(block: Block) -> Words:
-    inner = ~_SPACE[block.data]
+def split(block: Block, gaps: np.ndarray = _SPACE) -> Words:
+    """The words of a block; ``gaps``: by byte, whether it parts words."""
+    inner = ~gaps[block.data]
     before = np.zeros(len(inner), dtype=bool)
     before[1:] = inner[:-1]
     cut = block.offsets[:-1]
