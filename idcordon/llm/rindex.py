@@ -251,13 +251,11 @@ def build_index(symbols: np.ndarray) -> RunIndex:
     """``symbols``: bytes plus one, each segment followed by 0."""
     order = suffix_order(symbols)
     n = len(order)
-    before = symbols[order - 1]  # of the first suffix: the last symbol, as the text is taken as a ring
+    before = symbols[order - 1]
+    before[order == 0] = -1  # nothing stands before the whole text: a run of its own
     change = before[1:] != before[:-1]
     first = np.flatnonzero(np.append(True, change))
     last = np.append(first[1:], n) - 1
-    # The suffix at place 0 has no symbol before it; it is an end of its own on both sides.
-    zero = int(np.flatnonzero(order == 0)[0])
-    first, last = np.union1d(first, [zero]), np.union1d(last, [zero])
     key = packed(symbols)
     above = np.zeros(len(first), dtype=np.int64)
     above[first > 0] = common_prefix(symbols, key, order[first[first > 0]], order[first[first > 0] - 1])
