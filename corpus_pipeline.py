@@ -9,29 +9,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from idcordon.llm import mix
+from idcordon.llm import decontam, mix, quality, rindex, setjoin
 from idcordon.sources.shared import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix; ``taken`` says how many of their words it uses, repeats counted."""
-    plan = mix.taken(mix.mix(docs)).where("taken > 0")
-    return plan
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality.kept(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by shingles one stays; documents without words all stay."""
+    return setjoin.one_of_each(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long repeats are cut out of the texts; documents of which nothing is left go."""
+    cut = rindex.without_repeats(docs)
+    rest = cut.where((F.col("n_removed") == 0) | (F.col("text") != ""))
+    kind = dict(docs.dtypes)["n_chars"]
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
+    return rest.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix with ``size`` and ``taken``: their words, and how many the mix takes, repeats counted."""
+    plan = mix.mix(docs, extra=True)
+    return mix.taken(plan).where("taken > 0").select(*docs.columns, "size", "taken")
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("mixing", mixing),
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", jaccard_join),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mixing),
 ]
 
-#: Classifier, joins over sets, suffix sorting and alignment can't be put in SQL; tests hold the run against brute force.
+#: Classifier, set join, suffix sorting and alignment can't be put in SQL; tests hold the run against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

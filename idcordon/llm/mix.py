@@ -107,24 +107,25 @@ class Schedule:
         return np.diff(self._below(np.full(len(self.edges), self.slots, dtype=np.int64), self.edges))
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and a content hash that orders rows with the same id."""
-    rows = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("content"))
+def sizes(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns, size (words) and a content hash that orders rows with the same id."""
+    carried = [c for c in columns if c != "text"]
+    rows = docs.select(*[F.col(f"`{c}`") for c in carried], "text", F.xxhash64("text").alias("_content"))
+    kinds = dict(docs.dtypes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["source"], b["content"], pa.array(words.counts(b["text"]), pa.int64())],
-                names=["doc_id", "source", "content", "size"],
+                [*[b[c] for c in columns], b["_content"], pa.array(words.counts(b["text"]), pa.int64())],
+                names=[*columns, "_content", "_size"],
             )
 
-    kinds = dict(docs.dtypes)
-    return rows.mapInArrow(count, f"doc_id {kinds['doc_id']}, source {kinds['source']}, content long, size long")
+    return rows.mapInArrow(count, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", _content long, _size long")
 
 
 def _source_sizes(sized: DataFrame, options: MixOptions) -> list[tuple[str | None, int]]:
     """Words by source, in order. One row of each source; their number is checked."""
-    got = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(options.max_sources + 1).collect()
+    got = sized.groupBy("source").agg(F.sum("_size").alias("size")).limit(options.max_sources + 1).collect()
     if len(got) > options.max_sources:
         raise ValueError(f"more than {options.max_sources} sources")
     return sorted(((r["source"], r["size"]) for r in got), key=lambda r: (r[0] is None, r[0] or ""))
@@ -138,17 +139,18 @@ class Mix:
     plan: DataFrame
 
 
-def mix(docs: DataFrame, options: MixOptions | None = None) -> Mix:
+def mix(docs: DataFrame, options: MixOptions | None = None, extra: bool = False) -> Mix:
     """The mix of all documents.
 
-    ``docs``: doc_id, source, size, source_size, target, source_no and start, the place of the
-    document's first word in its source; (source_no, start) names a document with words.
-    ``plan``: slot, source_no, start, doc_id, from_word and n_words: the slot holds so many words
+    ``docs``: doc_id and source (``extra``: all columns), _size, _source_size, _target, _source_no
+    and _start, the place of the document's first word in its source; (_source_no, _start) names a
+    document with words. ``plan``: slot, source_no, start, doc_id, from_word and n_words: the slot holds so many words
     of the document from that word on.
     """
     options = options or MixOptions()
     spark = docs.sparkSession
-    sized = stored(sizes(docs), "mix-sizes")
+    narrow = ["doc_id", "source"]
+    sized = stored(sizes(docs, narrow), "mix-sizes")
     order = _source_sizes(sized, options)
     wanted = targets([s for _, s in order], options)
     slots = max(64 * len(order), int(np.ceil(sum(wanted) / options.block_words))) if sum(wanted) else 0
@@ -158,31 +160,33 @@ def mix(docs: DataFrame, options: MixOptions | None = None) -> Mix:
     facts = spark.createDataFrame(
         [(i, name, size, float(t), round(t), max(int(own[i]), int(i in late)))
          for i, ((name, size), t) in enumerate(zip(order, wanted))],
-        f"source_no int, name {dict(sized.dtypes)['source']}, source_size long, target double, words long, slots long",
+        f"_source_no int, _name {dict(sized.dtypes)['source']}, _source_size long, _target double, _words long, _slots long",
     )
     # One row of each source, at most max_sources.
-    placed = _placed(sized.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("name"))).drop("name"), options)
-    return Mix(placed, _plan(spark, placed, schedule, late))
+    placed = _placed(sized, facts, options)
+    wide = _placed(sizes(docs, docs.columns), facts, options) if extra else placed
+    return Mix(wide, _plan(spark, placed, schedule, late))
 
 
-def _placed(rows: DataFrame, options: MixOptions) -> DataFrame:
-    """Adds the start of each document in its shuffled source."""
-    keyed = rows.withColumn("shuffle", F.xxhash64("doc_id", F.lit(20))).withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(options.buckets)).cast("int")
+def _placed(sized: DataFrame, facts: DataFrame, options: MixOptions) -> DataFrame:
+    """Adds the facts of its source and its start in the shuffled source to each document."""
+    known = sized.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    keyed = known.withColumn("_shuffle", F.xxhash64("doc_id", F.lit(20))).withColumn(
+        "_bucket", F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(options.buckets)).cast("int")
     )
-    sums = keyed.groupBy("source_no", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source_no", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_start"))
+    sums = keyed.groupBy("_source_no", "_bucket").agg(F.sum("_size").alias("_bucket_size"))
+    before = Window.partitionBy("_source_no").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_source_no", "_bucket", F.coalesce(F.sum("_bucket_size").over(before), F.lit(0)).alias("_bucket_start"))
     inside = (
-        Window.partitionBy("source_no", "bucket")
-        .orderBy("shuffle", "doc_id", "size", "content")
+        Window.partitionBy("_source_no", "_bucket")
+        .orderBy("_shuffle", "doc_id", "_size", "_content")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        keyed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(sums, ["source_no", "bucket"])
-        .withColumn("start", F.col("bucket_start") + F.col("inner"))
-        .drop("shuffle", "bucket", "inner", "bucket_start", "content")
+        keyed.withColumn("_inner", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+        .join(sums, ["_source_no", "_bucket"])
+        .withColumn("_start", F.col("_bucket_start") + F.col("_inner"))
+        .drop("_shuffle", "_bucket", "_inner", "_bucket_start", "_content")
     )
 
 
@@ -201,8 +205,11 @@ def _plan(spark: SparkSession, placed: DataFrame, schedule: Schedule, late: list
         extra = [(schedule.slots + k, i, 0) for k, i in enumerate(late)]
         slots = slots.unionByName(spark.createDataFrame(extra, slots.schema))
     # Pass 0 and the repeats of a source: words [begin, end) of the repeated source, as far as it is wanted.
+    named = placed.selectExpr(
+        "doc_id", "_source_no AS source_no", "_start AS start", "_size AS size", "_source_size AS source_size", "_words AS words", "_slots AS slots"
+    )
     used = (
-        placed.where("size > 0 AND slots > 0")
+        named.where("size > 0 AND slots > 0")
         .withColumn("pass", F.explode(F.expr("sequence(0L, greatest(0L, (words - 1) div source_size))")))
         .withColumn("begin", F.expr("start + pass * source_size"))
         .withColumn("end", F.expr("least(begin + size, words)"))
@@ -221,10 +228,13 @@ def _plan(spark: SparkSession, placed: DataFrame, schedule: Schedule, late: list
 
 
 def taken(mixed: Mix) -> DataFrame:
-    """Every row of the documents with the words the mix takes of it, repeats counted."""
-    sums = mixed.plan.groupBy("source_no", "start").agg(F.sum("n_words").alias("taken"))
-    keys = ["source_no", "start"]
-    some = mixed.docs.where("size > 0").join(sums, keys, "left")
-    return some.unionByName(mixed.docs.where("size = 0").withColumn("taken", F.lit(None).cast("long"))).select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
-    )
+    """Every row of the documents with size, source_size, target and taken: the words the mix takes of it, repeats counted.
+
+    Columns of the documents that have these names are replaced.
+    """
+    sums = mixed.plan.groupBy("source_no", "start").agg(F.sum("n_words").alias("_taken")).toDF("_no", "_at", "_taken")
+    words = mixed.docs.where("_size > 0").join(sums, (F.col("_source_no") == F.col("_no")) & (F.col("_start") == F.col("_at")), "left")
+    all_rows = words.unionByName(mixed.docs.where("_size = 0"), allowMissingColumns=True)
+    made = {"size": "_size", "source_size": "_source_size", "target": "_target", "taken": "coalesce(_taken, 0L)"}
+    kept = [c for c in mixed.docs.columns if not c.startswith("_") and c not in made]
+    return all_rows.selectExpr(*[f"`{c}`" for c in kept], *[f"{e} AS {c}" for c, e in made.items()])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from idcordon.llm import chat as _chat
 from idcordon.llm import ctw as _ctw
 from idcordon.llm import decontam as _decontam
+from idcordon.llm import html as _html
 from idcordon.llm import mix as _mix
 from idcordon.llm import quality as _quality
 from idcordon.llm import rindex as _rindex
@@ -40,6 +41,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _setjoin.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_source_mix": op2_source_mix,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_html_extract": op4_html_extract,
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
     "op7_ctw_score": op7_ctw_score,

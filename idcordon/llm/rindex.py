@@ -442,6 +442,7 @@ def without_repeats(docs: DataFrame, options: RepeatOptions | None = None) -> Da
     """Every row with its repeats cut out of ``text``; n_removed: bytes cut. Half a character left by a cut goes too."""
     options = options or RepeatOptions()
     joined = _with_spans(docs, options)
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -455,8 +456,8 @@ def without_repeats(docs: DataFrame, options: RepeatOptions | None = None) -> Da
                 else:
                     removed.append(0)
                 kept.append(value)
-            columns = [pa.array(kept, pa.string()) if name == "text" else b[name] for name in docs.columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=[*docs.columns, "n_removed"])
+            values = [pa.array(kept, pa.string()) if name == "text" else b[name] for name in columns]
+            yield pa.RecordBatch.from_arrays([*values, pa.array(removed, pa.int64())], names=[*columns, "n_removed"])
 
     kinds = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
-    return joined.select(*docs.columns, "spans").mapInArrow(run, f"{kinds}, n_removed long")
+    return joined.select(*columns, "spans").mapInArrow(run, f"{kinds}, n_removed long")

@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from idcordon.llm import words as W
 from idcordon.llm.components import components
@@ -453,22 +455,55 @@ def set_links(docs: DataFrame, signed: DataFrame, options: JaccardOptions) -> Da
     return links.unionByName(_linked(pairs, stored(more, "sets"), options))
 
 
-def jaccard_components(docs: DataFrame, options: JaccardOptions | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    options = options or JaccardOptions()
+def _classes(docs: DataFrame, options: JaccardOptions) -> tuple[DataFrame, DataFrame]:
+    """signatures of all rows; and (of_set, component, first_id) of every class, component: a set_id."""
     signed = stored(signatures(docs, options), "signatures")
     linked = stored(components(set_links(docs, signed, options)), "components")
     classes = signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_id"))
     named = classes.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left")
-    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("first_id").alias("least_id"))
-    named = stored(
-        named.join(least, "component", "left").select(
-            F.col("set_id").alias("of_set"), F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id")
-        ),
-        "classes",
+    return signed, stored(
+        named.select(F.col("set_id").alias("of_set"), F.coalesce("component", "set_id").alias("component"), "first_id"), "classes"
     )
+
+
+def jaccard_components(docs: DataFrame, options: JaccardOptions | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    signed, classes = _classes(docs, options or JaccardOptions())
+    least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = stored(classes.join(least, "component").select("of_set", "component_id"), "named")
     alone = signed.where("set_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return (
         signed.where("set_id IS NOT NULL").join(named, F.col("set_id") == F.col("of_set"))
         .select("doc_id", "n_shingles", "component_id").unionByName(alone)
     )
+
+
+def one_of_each(docs: DataFrame, options: JaccardOptions | None = None) -> DataFrame:
+    """One row of each component, that with the smallest id (then content), and all rows without words; all columns.
+
+    Only rows whose content is in a component of several rows, and those that a bitmap of fixed
+    size takes for such, are shuffled.
+    """
+    options = options or JaccardOptions()
+    signed, classes = _classes(docs, options)
+    known = signed.where("set_id IS NOT NULL").join(classes, F.col("set_id") == F.col("of_set"))
+    chosen = known.groupBy("component").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "content")).alias("one"))
+    several = stored(chosen.where("rows > 1").select(F.col("component").alias("of"), "one"), "several")
+    affected = stored(
+        known.join(several, F.col("component") == F.col("of")).select(
+            F.col("content").alias("_content"), F.col("doc_id").alias("_id"),
+            ((F.col("one.content") == F.col("content")) & F.col("one.doc_id").eqNullSafe(F.col("doc_id"))).alias("_chosen"),
+        ).distinct(),
+        "affected",
+    )
+    sieve = F.broadcast(_sieve(affected, "_content", options.sieve_bits)).toDF("_word", "_mask")
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    bit = F.pmod(F.col("_hash"), F.lit(options.sieve_bits))
+    sifted = keyed.join(sieve, F.floor(bit / 64).cast("int") == F.col("_word"), "left")
+    hit = F.coalesce(F.expr("_mask & shiftleft(1L, CAST(pmod(_hash, 64) AS INT)) <> 0"), F.lit(False)) & F.col("text").isNotNull()
+    same = (F.col("_hash") == F.col("_content")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    hits = sifted.where(hit).join(affected, same, "left").where("_chosen IS NULL OR _chosen")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text" and not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
+    place = F.row_number().over(Window.partitionBy("_hash", "doc_id").orderBy(*others))
+    first = hits.withColumn("_place", place).where("_chosen IS NULL OR _place = 1")
+    return sifted.where(~hit).select(*docs.columns).unionByName(first.select(*docs.columns))
