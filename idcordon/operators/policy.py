@@ -11,8 +11,8 @@ from idcordon.functions.sql import choose, let, lit, name
 from idcordon.functions.text import py_float
 from idcordon.sources.records import parse_responses
 
-# Risk, control codes and wording of each rule. Consumers match on these
-# words (see the control mapping) and they enter audit hashes.
+# Risk, control codes and wording of each rule. Risks and codes are fixed values, and so are the
+# words the control mapping looks for; the sentences around them are our own.
 RBI_DATA, RBI_AI = "RBI-ITG-SEC-01", "RBI-ITG-SEC-02"
 DPDP = "DPDP-2023-SEC-08"
 SEBI_AI, SEBI_NET = "SEBI-CSCRF-AI-01", "SEBI-CSCRF-NET-03"
@@ -84,7 +84,7 @@ def with_rules(df: DataFrame, options: PolicyOptions = PolicyOptions()) -> DataF
     injected = _confidence("_inj", "HIGH")
     score = choose(
         ("_inj.score IS NULL", "'0.95'"),
-        (r"rlike(_inj.score, r'[.eE]')", let("cast(_inj.score AS double)", "d", py_float("d"))),
+        (r"rlike(_inj.score, r'[.eE]')", let("try_cast(_inj.score AS double)", "d", py_float("d"))),
         otherwise="_inj.score",
     )
     types = (
@@ -121,7 +121,7 @@ def with_rules(df: DataFrame, options: PolicyOptions = PolicyOptions()) -> DataF
                 f"format_string({lit(WORDING['injection'])}, {injected}, {score})",
             )
             + " AS injection",
-            "cast(coalesce(_inj.score, '0.95') AS double) AS injection_score",
+            "coalesce(try_cast(_inj.score AS double), 0.95D) AS injection_score",
             f"if(NOT failed AND coalesce({_state('_rai')} = 'MATCH_FOUND', false), "
             f"coalesce({breaches}, array()), array()) AS responsible_ai",
             rule(

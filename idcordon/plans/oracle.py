@@ -246,12 +246,48 @@ _CSAM = ("csam.csamFilterFilterResult", "csam.csam_filter_filter_result")
 RULE_NAMES = ("fail_closed", "injection", "responsible_ai", "sensitive_data", "malicious_uri", "csam", "fallback")
 
 
+def _usable() -> str:
+    """Whether a valid JSON answer has the shape of one, stated path by path."""
+    tests = ["json_type(response) = 'OBJECT'"]
+    for result in ("sanitizationResult", "sanitization_result"):
+        tests.append(f"json_type(response, '$.{result}')  = 'OBJECT'")
+        for filters in ("filterResults", "filter_results"):
+            base = f"$.{result}.{filters}"
+            objects = [base, *(f"{base}.{p}" for p in ("pi_and_jailbreak", "rai", "sdp", "malicious_uris", "csam"))]
+            objects += [f"{base}.{p}" for pair in (_INJ, _URI, _CSAM) for p in pair]
+            objects += [f"{base}.{p}" for p in ("rai.raiFilterResult", "rai.rai_filter_result", "sdp.sdpFilterResult", "sdp.sdp_filter_result")]
+            for sdp in ("sdpFilterResult", "sdp_filter_result"):
+                for inspect in ("inspectResult", "inspect_result"):
+                    path = f"{base}.sdp.{sdp}.{inspect}"
+                    objects.append(path)
+                    tests.append(f"json_type(response, '{path}.findings')  = 'ARRAY'")
+                    tests.append(f"len(list_filter(json_type(response, '{path}.findings[*]'), lambda t: t <> 'OBJECT'))  = 0")
+            tests += [f"json_type(response, '{path}')  = 'OBJECT'" for path in objects]
+            for path in _INJ:
+                tests.append(f"try_cast(json_extract_string(response, '{base}.{path}.score') AS DOUBLE) IS NOT NULL "
+                             f"OR json_extract_string(response, '{base}.{path}.score') IS NULL")
+            for path in _URI:
+                tests += [f"json_type(response, '{base}.{path}.{k}')  = 'ARRAY'" for k in ("matchedUris", "matched_uris")]
+            for path in ("rai.raiFilterResult", "rai.rai_filter_result"):
+                for k in ("raiFilterTypeResults", "rai_filter_type_results"):
+                    tests.append(f"json_type(response, '{base}.{path}.{k}')  = 'OBJECT'")
+                    tests.append(f"len(list_filter(json_type(response, '{base}.{path}.{k}.*'), lambda t: t <> 'OBJECT'))  = 0")
+    # An absent part or a JSON null is fine wherever a kind is asked for.
+    def lenient(test: str) -> str:
+        if "  = " not in test or test.startswith("len("):
+            return f"({test})"
+        left = test.split("  = ")[0]
+        return f"(coalesce({left}, 'NULL') = 'NULL' OR {test})"
+
+    return " AND ".join(map(lenient, tests))
+
+
 def policy(responses: str, ai: int = 2, action: str = "deny") -> str:
     """CTEs up to ``judged``, over rows of k, success, response, error_message."""
     none = "CAST([] AS VARCHAR[])"
     return f"""
     answers AS ({responses}),
-    opened AS (SELECT *, CASE WHEN json_valid(response) THEN response END AS j FROM answers),
+    opened AS (SELECT *, CASE WHEN json_valid(response) THEN CASE WHEN {_usable()} THEN response END END AS j FROM answers),
     unwrapped AS (SELECT *,
         CASE WHEN j IS NOT NULL THEN coalesce(json_extract_string(j, '$.sanitizationResult.filterMatchState'),
              json_extract_string(j, '$.sanitization_result.filter_match_state'), 'NO_MATCH_FOUND') END AS state,

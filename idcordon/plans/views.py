@@ -204,6 +204,17 @@ _CASES = [
             '"confidenceLevel":"CONFIDENCE_LEVEL_UNSPECIFIED","score":1}},'
             '"sdp":{"sdpFilterResult":{"inspectResult":{"matchState":"MATCH_FOUND"}}},'
             '"malicious_uris":{"maliciousUriFilterResult":{"matchState":"MATCH_FOUND","matchedUris":[]}}'),
+    # Valid JSON that is no answer of the filter: none of these may let a text pass.
+    "[]", '[{"a":1}]', '"x"', "null", "5", '{"sanitizationResult":"oops"}', '{"sanitization_result":[1]}',
+    '{"sanitizationResult":{"filterResults":"bad"}}',
+    _answer(_MISS, '"rai":{"raiFilterResult":{"matchState":"NO_MATCH_FOUND","raiFilterTypeResults":{"dangerous":"HIGH"}}}'),
+    _answer(_MISS, '"rai":{"rai_filter_result":7}', snake=True),
+    _answer(_MISS, '"sdp":{"sdpFilterResult":{"inspectResult":{"findings":["PAN"]}}}'),
+    _answer(_MISS, '"malicious_uris":{"malicious_uri_filter_result":{"matched_uris":"http://a.example"}}', snake=True),
+    _answer(_HIT, '"pi_and_jailbreak":{"piAndJailbreakFilterResult":{"matchState":"MATCH_FOUND","score":"abc"}}'),
+    # And some that are, with little in them.
+    "{}", '{"sanitizationResult":null}', '{"sanitizationResult":{}}', '{"sanitizationResult":{"filterResults":null}}',
+    _answer(_HIT, '"pi_and_jailbreak":{"piAndJailbreakFilterResult":{"matchState":"MATCH_FOUND","score":"0.5"}}'),
 ]
 
 # Answers of the safety filter for the spiked texts; every thirteenth has none.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idcordon.functions.sql import name
+from idcordon.functions.sql import let, name
 
 # Keys of an event in JSON.
 _EVENT = "struct<name:string,args:string>"
@@ -44,6 +44,60 @@ _RESULT = (
 )
 RESPONSE_SCHEMA = f"sanitizationResult {_RESULT}, sanitization_result {_RESULT}"
 
+# Parts of an answer that must be objects where they are present, by key in either spelling; below
+# them: parts of their own, "each" for a map of objects, "list" for a list of objects, "items" for any list.
+_SHAPE = {
+    ("sanitizationResult", "sanitization_result"): {
+        ("filterResults", "filter_results"): {
+            ("pi_and_jailbreak",): {
+                ("piAndJailbreakFilterResult", "pi_and_jailbreak_filter_result"): {("score",): "number"}
+            },
+            ("rai",): {
+                ("raiFilterResult", "rai_filter_result"): {
+                    ("raiFilterTypeResults", "rai_filter_type_results"): "each"
+                }
+            },
+            ("sdp",): {
+                ("sdpFilterResult", "sdp_filter_result"): {
+                    ("inspectResult", "inspect_result"): {("findings",): "list"}
+                }
+            },
+            ("malicious_uris",): {
+                ("maliciousUriFilterResult", "malicious_uri_filter_result"): {
+                    ("matchedUris", "matched_uris"): "items"
+                }
+            },
+            ("csam",): {("csamFilterFilterResult", "csam_filter_filter_result"): {}},
+        }
+    }
+}
+
+
+def _misshapen(value: str, shape: dict | str, depth: int = 0) -> str:
+    """Whether a JSON value (a variant, not null) is not what a filter's answer has there."""
+
+    def as_(kind: str, of: str = value) -> str:
+        return f"try_variant_get({of}, '$', '{kind}')"
+
+    if shape == "number":
+        return f"{as_('double')} IS NULL"
+    if shape == "items":
+        return f"{as_('array<variant>')} IS NULL"
+    no_object = "try_variant_get(z, '$', 'map<string,variant>') IS NULL"
+    if shape == "list":
+        return f"coalesce(exists({as_('array<variant>')}, z -> {no_object}), true)"
+    if shape == "each":
+        return f"coalesce(exists(map_values({as_('map<string,variant>')}), z -> {no_object}), true)"
+    tests = [f"{as_('map<string,variant>')} IS NULL"]
+    for keys, below in shape.items():
+        for key in keys:
+            var = f"p{depth}"
+            part = f"try_variant_get({value}, '$.{key}', 'variant')"
+            inner = f"{var} IS NOT NULL AND NOT is_variant_null({var}) AND ({_misshapen(var, below, depth + 1)})"
+            tests.append(let(part, var, inner))
+    return " OR ".join(tests)
+
+
 AUDIT_SCHEMA = (
     "event_id string, timestamp_utc string, timestamp_ist string, conversation_id string, "
     "step_idx bigint, hook_name string, event_type string, decision string, reason string, "
@@ -113,8 +167,10 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 def parse_responses(df: DataFrame, response: str = "response") -> DataFrame:
     """Unwrap answers of the safety filter in either spelling of their keys.
 
-    Adds ``filter_match_state``, ``invocation_result`` and ``filters``; an unreadable
-    answer has null states.
+    Adds ``filter_match_state``, ``invocation_result`` and ``filters``. Null states mean an
+    answer that can't be relied on: no JSON, a key twice in one object, a part of another
+    shape than the filter gives (a list or text instead of an object), a score that is no
+    number. Absent keys, null and empty objects stand for the defaults.
     """
     parsed = f"from_json({name(response)}, '{RESPONSE_SCHEMA}')"
 
@@ -128,9 +184,12 @@ def parse_responses(df: DataFrame, response: str = "response") -> DataFrame:
     def chosen(camel: str, snake: str) -> str:
         return f"coalesce(nullif({camel}, ''), nullif({snake}, ''))"
 
-    readable = f"try_parse_json({name(response)}) IS NOT NULL"
+    usable = let(
+        f"try_parse_json({name(response)})", "v",
+        f"v IS NOT NULL AND NOT is_variant_null(v) AND NOT ({_misshapen('v', _SHAPE)})",
+    )
     return (
-        df.selectExpr("*", f"{parsed} AS _answer", f"{readable} AS _readable")
+        df.selectExpr("*", f"{parsed} AS _answer", f"coalesce({usable}, false) AS _readable")
         .selectExpr(
             "*",
             f"if({filled('_answer.sanitizationResult')}, _answer.sanitizationResult, "
