@@ -420,8 +420,8 @@ def set_links(docs: DataFrame, signed: DataFrame, options: JaccardOptions) -> Da
     )
     stars = stored(stars, "stars")
     crowd = full.where((F.col("length") >= options.crowd) | (F.col("part") >= 0)).select("set_id").distinct()
-    ends = stars.select(F.col("a").alias("set_id")).unionByName(stars.select(F.col("b").alias("set_id")))
-    sets = stored(_sets_of(docs, signed, ends.unionByName(crowd).distinct(), options), "sets")
+    ends = stars.select(F.col("a").alias("set_id")).unionByName(stars.select(F.col("b").alias("set_id"))).distinct()
+    sets = stored(_sets_of(docs, signed, ends, options), "sets")
     links = stored(_linked(stars, sets, options), "linked")
 
     # What the stars left apart: classes of different components that share a list.
@@ -429,21 +429,19 @@ def set_links(docs: DataFrame, signed: DataFrame, options: JaccardOptions) -> Da
     apart = full.drop("part").join(known.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     split = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     apart = stored(apart.join(split, "key"), "apart")
-    # In crowds, only classes of which others have enough shingles can link.
-    crowded = stored(crowd.join(apart.select("set_id").distinct(), "set_id"), "crowd")
+    # Two near copies of a crowd can only link if enough shingles of each are covered by the crowd. Of
+    # pairs with a class outside (``ends``: all that could link with the head of a list) nothing is concluded.
+    crowded = stored(crowd.join(apart.select("set_id").distinct(), "set_id").join(ends, "set_id", "left_semi"), "crowd")
     cover = _covered(sets.join(crowded, "set_id", "left_semi"))
     cover = stored(crowded.join(cover, "set_id", "left").select("set_id", F.coalesce("covered", F.lit(0)).alias("covered")), "covered")
-    able = stored(
-        apart.join(cover, "set_id", "left").withColumn("covered", F.coalesce("covered", "n"))
-        .where(f"(100 + {p}) * covered >= {p} * (n + ({p} * n + 99) div 100)"), "able",
-    )
+    able = stored(apart.join(cover, "set_id", "left"), "able")
     pairs = (
         able.alias("s")
         .join(
             able.alias("l"),
             F.expr("s.key = l.key AND s.tag AND s.component <> l.component AND (s.n < l.n OR s.n = l.n AND s.set_id < l.set_id)")
             & _possible("s", "l", options)
-            & F.expr(f"(100 + {p}) * least(s.covered, l.covered) >= {p} * (s.n + l.n)"),
+            & F.expr(f"coalesce((100 + {p}) * (s.covered + l.covered - greatest(s.covered, l.covered)) >= {p} * (s.n + l.n), true)"),
         )
         .select(F.least("s.set_id", "l.set_id").alias("a"), F.greatest("s.set_id", "l.set_id").alias("b"))
         .distinct()
