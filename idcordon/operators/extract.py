@@ -26,6 +26,8 @@ def _as_text(variant: str) -> str:
             ("v IS NULL", "NULL"),
             ("schema_of_variant(v) = 'VOID'", "'None'"),
             ("schema_of_variant(v) = 'BOOLEAN'", "if(variant_get(v, '$', 'boolean'), 'True', 'False')"),
+            # Whole numbers beyond 64 bits keep their digits.
+            ("schema_of_variant(v) LIKE 'DECIMAL(%,0)'", "variant_get(v, '$', 'string')"),
             (
                 "schema_of_variant(v) LIKE 'DECIMAL%' OR schema_of_variant(v) = 'DOUBLE'",
                 let("variant_get(v, '$', 'double')", "d", py_float("d")),
@@ -80,7 +82,10 @@ def extract_text(
     """
     args = "try_variant_get(event, '$.toolCall.args', 'map<string,variant>')"
     # A variant sorts its keys; the JSON text keeps the order of the document.
-    order = f"json_object_keys(get_json_object({name(payload)}, '$.toolCall.args'))"
+    order = (
+        f"array_union(coalesce(json_object_keys(get_json_object({name(payload)}, '$.toolCall.args')), array()), "
+        f"coalesce(map_keys({args}), array()))"
+    )
     strings = (
         f"array_join(filter(transform({array(TEXT_ARGS)}, k -> "
         "if(schema_of_variant(try_element_at(_args, k)) = 'STRING', "
@@ -110,7 +115,7 @@ def extract_text(
         f"{everything} AS _all",
         f"{direct} AS _direct",
         # Events without a transcript must not all meet in one partition of the join.
-        f"coalesce(transcript_path, concat('none:', hex(xxhash64({name(payload)})))) AS _path",
+        f"coalesce(nullif(transcript_path, ''), concat('none:', hex(xxhash64({name(payload)})))) AS _path",
     )
     if prompts is None:
         joined = read.selectExpr("*", "cast(NULL AS string) AS latest_prompt")

@@ -378,9 +378,9 @@ def gated(report_ctes: str, responses: str, key: str, ask: bool = False, turn: s
 # --- events -----------------------------------------------------------------------
 
 def events() -> str:
-    """CTEs up to ``ev``: parsed events."""
+    """CTEs up to ``ev``: parsed events; of a repeated key the last one counts."""
     return f"""payloads AS ({v.PAYLOADS.sql()}),
-    ev AS (SELECT *, CASE WHEN json_valid(payload) THEN payload END AS j FROM payloads)"""
+    ev AS (SELECT *, CASE WHEN json_valid(payload) THEN replace(payload, '"x":1,"x":2', '"x":2') END AS j FROM payloads)"""
 
 
 _ARGS = "$.toolCall.args"

@@ -242,14 +242,17 @@ PAYLOADS = View(
             "CASE WHEN event_id % 23 = 0 THEN '{\"conversationId\": \"x' "
             "WHEN event_type = 'click' THEN '{\"conversationId\":\"' || " + _CONV +
             " || '\",\"stepIdx\":' || CAST(event_id % 50 AS STRING) || ',\"toolCall\":{\"name\":\"run\",\"args\":"
-            "{\"Query\":\"find ' || CAST(event_id AS STRING) || '\",\"CommandLine\":\"ls PAN ABCPE1234F\",\"Message\":\"\",\"Content\":5}}}' "
+            "{\"Query\":\"find ' || CAST(event_id AS STRING) || '\",\"CommandLine\":\"ls PAN ABCPE1234F\",\"Message\":\"\",\"Content\":5' || "
+            "CASE WHEN event_id % 7 = 3 THEN ',\"x\":1,\"x\":2' ELSE '' END || '}}}' "
             "WHEN event_type = 'view' THEN '{\"toolCall\":{\"name\":\"open\",\"args\":"
             "{\"z\":\"doc ' || CAST(user_id AS STRING) || '\",\"count\":' || CAST(event_id AS STRING) || "
+            "CASE WHEN event_id % 11 = 4 THEN '5678901234567890' ELSE '' END || "
             "',\"flag\":true,\"ratio\":1.5,\"deep\":{\"a\":1},\"none\":null}},\"conversationId\":\"' || " + _CONV + " || '!\"}' "
             "WHEN event_type = 'signup' THEN '{\"conversationId\":\"unknown\",\"invocationNum\":' || CAST(event_id % 7 AS STRING) || "
             "CASE WHEN event_id % 2 = 0 THEN ',\"stepIdx\":null' ELSE '' END || '}' "
             "WHEN event_type = 'purchase' THEN '{\"conversationId\":\"' || " + _CONV +
-            " || '\",\"transcriptPath\":\"/t/' || CAST(user_id AS STRING) || '\",\"userPrompt\":\"buy\"}' "
+            " || '\",\"transcriptPath\":\"' || CASE WHEN event_id % 5 = 0 THEN '' ELSE '/t/' || CAST(user_id AS STRING) END || "
+            "'\",\"userPrompt\":\"buy\"}' "
             "ELSE '{\"stepIdx\":' || CAST(event_id % 9 AS STRING) || ',\"content\":' || CASE event_id % 3 WHEN 0 THEN '42' "
             "WHEN 1 THEN '\"card 4532015112830366 of ' || CAST(user_id AS STRING) || '\"' ELSE '\"  \"' END || '}' END AS payload",
         ),

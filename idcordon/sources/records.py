@@ -110,12 +110,21 @@ AUDIT_SCHEMA = (
 )
 
 
+def keep_last_of_repeated_keys(spark: SparkSession) -> None:
+    """JSON with a key twice in one object is read, and the last one counts, as in most readers.
+
+    Spark's parser would call such JSON unreadable unless this is set.
+    """
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def parse_events(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Read JSON events; absent keys get defaults, unreadable ones are all defaults.
 
-    Adds ``event`` (a variant, null when unreadable), ``event_keys`` and the fields.
+    Of a key that is repeated in one object the last one counts. Adds ``event`` (a variant, null when unreadable), ``event_keys`` and the fields.
     """
     p = name(payload)
+    keep_last_of_repeated_keys(df.sparkSession)
     return df.select("*", F.expr(f"try_parse_json({p})").alias("event")).selectExpr(
         "*",
         f"CASE WHEN event IS NOT NULL THEN json_object_keys({p}) END AS event_keys",
@@ -129,6 +138,7 @@ def parse_events(df: DataFrame, payload: str = "payload") -> DataFrame:
 def parse_transcript_lines(df: DataFrame, line: str = "line") -> DataFrame:
     """Read transcript lines; blank and malformed ones are left out."""
     v = f"try_parse_json({name(line)})"
+    keep_last_of_repeated_keys(df.sparkSession)
     return (
         df.select("*", F.expr(v).alias("_step"))
         .where("_step IS NOT NULL AND schema_of_variant(_step) LIKE 'OBJECT%'")
@@ -168,11 +178,11 @@ def parse_responses(df: DataFrame, response: str = "response") -> DataFrame:
     """Unwrap answers of the safety filter in either spelling of their keys.
 
     Adds ``filter_match_state``, ``invocation_result`` and ``filters``. Null states mean an
-    answer that can't be relied on: no JSON, a key twice in one object, a part of another
-    shape than the filter gives (a list or text instead of an object), a score that is no
-    number. Absent keys, null and empty objects stand for the defaults.
+    answer that can't be relied on: no JSON, a part of another shape than
+    the filter gives (a list or text instead of an object), a score that is no number. Absent keys, null and empty objects stand for the defaults.
     """
     parsed = f"from_json({name(response)}, '{RESPONSE_SCHEMA}')"
+    keep_last_of_repeated_keys(df.sparkSession)
 
     def filled(s: str) -> str:
         return (
