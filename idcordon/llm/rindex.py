@@ -51,7 +51,7 @@ class RepeatOptions:
     length: int = 400
     anchor: int = 200
     near: int = 12
-    label_bytes: int = 1 << 18
+    label_bytes: int = 1 << 22
     index_bytes: int = 1 << 20
 
 
@@ -182,18 +182,19 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """The suffixes of a text of symbols under 512 in order, by doubling; only tied suffixes are sorted again."""
     n = len(symbols)
     key = packed(symbols)
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, dtype=np.int64)
-    sorted_key = key[order]
-    head = np.flatnonzero(np.append(True, sorted_key[1:] != sorted_key[:-1]))
-    rank[order] = np.repeat(head, np.diff(head, append=n))
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    rank = np.empty(n, dtype=np.int32)
+    key = key[order]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])).astype(np.int32)
+    del key
+    size = np.diff(head, append=np.int32(n))
+    rank[order] = np.repeat(head, size)
     depth = _PACK
-    size = np.diff(head, append=n)
     tied = np.repeat(size > 1, size)  # by place in the order
-    at = np.flatnonzero(tied)
+    at = np.flatnonzero(tied).astype(np.int32)
     while len(at):
         who = order[at]
-        further = np.where(who + depth < n, rank[np.minimum(who + depth, n - 1)], -1)
+        further = np.where(who + depth < n, rank[np.minimum(who + depth, n - 1)], np.int32(-1))
         group = rank[who]
         by = np.lexsort((further, group))
         who, further, group = who[by], further[by], group[by]
@@ -213,10 +214,11 @@ _PACK = 7
 def packed(symbols: np.ndarray) -> np.ndarray:
     """Seven symbols from each place on, as one number."""
     n = len(symbols)
-    full = np.concatenate([symbols, np.zeros(_PACK, dtype=np.int64)]).astype(np.int64)
+    full = np.concatenate([symbols, np.zeros(_PACK, dtype=symbols.dtype)])
     key = np.zeros(n, dtype=np.int64)
     for k in range(_PACK):
-        key = (key << 9) | full[k : k + n]
+        key <<= 9
+        key |= full[k : k + n]
     return key
 
 
@@ -288,7 +290,7 @@ def common_prefix(symbols: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.nda
 def repeated_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
     """For each of different segments, which of its windows start elsewhere in them too."""
     starts, at = [], 0
-    symbols = np.zeros(sum(map(len, segments)) + len(segments), dtype=np.int64)
+    symbols = np.zeros(sum(map(len, segments)) + len(segments), dtype=np.int16)
     for s in segments:
         symbols[at : at + len(s)] = np.frombuffer(s, dtype=np.uint8)
         symbols[at : at + len(s)] += 1
