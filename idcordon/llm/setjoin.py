@@ -13,8 +13,9 @@ which the number of subsets outgrows the lists' measured length.
 
 Lists of large groups of near copies are not expanded into pairs. In each list every set is
 first compared with the best covered one (the set with the largest share of shingles that
-others have too); what links becomes one component. Only sets of different components that
-still share a list are then compared with each other, so no link between components is lost.
+others have too), the list's head; what links becomes one component. Only sets of different
+components that still share a list, or lists with one head, are then compared with each other,
+so no link between components is lost.
 
 Defined results: no words or null text: an empty set, linked with nothing. Fewer words than a
 shingle has: the whole sequence is the one shingle. Repeated rows and ids are rows like any
@@ -434,12 +435,18 @@ def set_links(docs: DataFrame, signed: DataFrame, options: JaccardOptions) -> Da
     crowded = stored(crowd.join(apart.select("set_id").distinct(), "set_id").join(ends, "set_id", "left_semi"), "crowd")
     cover = _covered(sets.join(crowded, "set_id", "left_semi"))
     cover = stored(crowded.join(cover, "set_id", "left").select("set_id", F.coalesce("covered", F.lit(0)).alias("covered")), "covered")
-    able = stored(apart.join(cover, "set_id", "left"), "able")
+    # Lists with one head hold much the same classes: their classes are compared once, under the head.
+    heads_of = heads.groupBy("key").agg(F.max("head").alias("head")).select("key", F.col("head.set_id").alias("head"))
+    able = (
+        apart.join(heads_of, "key").groupBy("head", "set_id")
+        .agg(*[F.first(c).alias(c) for c in ("n", "shared", "rest", "component")], F.max("tag").alias("tag"))
+    )
+    able = stored(able.join(cover, "set_id", "left"), "able")
     pairs = (
         able.alias("s")
         .join(
             able.alias("l"),
-            F.expr("s.key = l.key AND s.tag AND s.component <> l.component AND (s.n < l.n OR s.n = l.n AND s.set_id < l.set_id)")
+            F.expr("s.head = l.head AND s.tag AND s.component <> l.component AND (s.n < l.n OR s.n = l.n AND s.set_id < l.set_id)")
             & _possible("s", "l", options)
             & F.expr(f"coalesce((100 + {p}) * (s.covered + l.covered - greatest(s.covered, l.covered)) >= {p} * (s.n + l.n), true)"),
         )
