@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -16,7 +17,8 @@ from idcordon.config import ScanOptions  # noqa: E402
 from idcordon.operators import audit, report  # noqa: E402
 from idcordon.operators.redact import apply_action_mode  # noqa: E402
 from idcordon.plans import oracle, registry  # noqa: E402
-from idcordon.sources.spread import spread  # noqa: E402
+from idcordon.sources.shared import drop_shared  # noqa: E402
+from idcordon.plans.views import PARTITIONS, dealt  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -32,7 +34,7 @@ HEADLINE = (
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan, resolve, redact and report all documents."""
     options = ScanOptions(action_mode="MASK")
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return apply_action_mode(report.text_report(docs, "text", options), "text", options)
 
 
@@ -57,6 +59,8 @@ def main() -> None:
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
+        .config(PARTITIONS, CPUS)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -65,6 +69,7 @@ def main() -> None:
     queries["audit_build_verify"] = audit_build_verify
     run(spark, scan_documents, SF_DIR)  # warm-up of the JVM
     times = {name: run(spark, query, SF_DIR) for name, query in queries.items()}
+    drop_shared(spark)
     size = spark.read.parquet(f"{SF_DIR}/documents.parquet").agg(
         F.count("*"), F.sum(F.octet_length("text"))
     ).first()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,10 +14,9 @@ from idcordon.config import (
     DEFAULT_FRAMEWORKS, GENESIS, RETENTION_DAYS, ScanOptions,
 )
 from idcordon.functions.canonical import event_hash, hash_parts
-from idcordon.functions.sql import array, choose, empty, fold_emit, lit, name
+from idcordon.functions.sql import array, choose, empty, lit, name
 from idcordon.operators.detect import entity_frameworks, entity_name, entity_type
 from idcordon.operators.lookback import last_before
-from idcordon.sources.shared import shared_dir
 
 _ENTITY = (
     "struct<entity_type:string,entity_name:string,category:string,severity:string,"
@@ -113,79 +116,55 @@ def last_hashes(trail: DataFrame, chain: str = "chain_id", seq: str = "seq") ->
     return trail.groupBy(chain).agg(F.max_by("event_hash", seq).alias("last_hash"))
 
 
-def _fold(items: str, first: str) -> str:
-    """Hashes of a stretch of a chain, each taken over the one before."""
-    return fold_emit(
-        items,
-        first,
-        "struct<seq:bigint,prev_event_hash:string,event_hash:string>",
-        "sha2(concat(x.head, a.carry, x.tail), 256)",
-        "array(named_struct('seq', x.seq, 'prev_event_hash', a.carry, 'event_hash', n))",
-    )
-
-
-def _links(df: DataFrame, chain: str, first: str) -> DataFrame:
-    return df.select(chain, F.explode(F.expr(_fold("items", first))).alias("e")).select(
-        chain, "e.seq", "e.prev_event_hash", "e.event_hash"
-    )
-
-
 def chain_links(
     events: DataFrame,
     salt: str,
     chain: str = "chain_id",
     seq: str = "seq",
     resume: DataFrame | None = None,
-    stretch: int = 20_000,
 ) -> DataFrame:
     """Previous and own hash of each event: (chain, seq, prev_event_hash, event_hash).
 
-    ``seq`` is unique and rises inside a chain. Events are turned into the text to be hashed
-    in parallel and gathered by stretches of fewer than twice ``stretch`` events. A chain is
-    serial by its nature, so where some chain has several stretches the n-th stretch of every
-    chain is hashed in round n and its last hash handed on through a stored table. No
-    task ever holds more than single stretches, however long a chain is.
-
-    ``events`` is read twice; store it first when it comes from a scan.
+    ``seq`` is unique and rises inside a chain; ``resume``: chain and last_hash to go on from.
+    The text to be hashed is made in the JVM. One shuffle brings each chain together and sorts
+    it, spilling where it must; a task then walks its rows and keeps only the last hash. A null
+    chain id is a chain like any other. A chain is serial by its nature.
     """
     head, tail = hash_parts(salt)
     prepared = events.selectExpr(
-        name(chain), f"cast({name(seq)} AS bigint) AS seq",
-        f"{name(seq)} div {stretch} AS _slice", f"{head} AS head", f"{tail} AS tail",
-    )
-    # Few rows per chain: slices of the sequence, packed into stretches by their counts.
-    before = f"sum(count) OVER (PARTITION BY {name(chain)} ORDER BY _slice) - count"
-    index = (
-        events.selectExpr(name(chain), f"{name(seq)} div {stretch} AS _slice")
-        .groupBy(chain, "_slice")
-        .count()
-        .selectExpr(name(chain), "_slice", f"({before}) div {stretch} AS round")
+        name(chain), f"cast({name(seq)} AS bigint) AS seq", f"{head} AS head", f"{tail} AS tail"
     )
-    rounds = (index.agg(F.max("round")).first()[0] or 0) + 1
-    gathered = F.sort_array(F.collect_list(F.struct("seq", "head", "tail"))).alias("items")
-
-    def joined(part: DataFrame, last: DataFrame | None) -> DataFrame:
-        if last is None:
-            return part.select("*", F.lit(GENESIS).alias("_first"))
-        return part.join(last, chain, "left").select(
-            *part.columns, F.coalesce("last_hash", F.lit(GENESIS)).alias("_first")
+    if resume is not None:  # stands before a chain's first event
+        prepared = prepared.unionByName(
+            resume.selectExpr(name(chain), "cast(NULL AS bigint) AS seq", "last_hash AS head", "'' AS tail")
         )
 
-    if rounds == 1:
-        return _links(joined(prepared.groupBy(chain).agg(gathered), resume), chain, "_first")
-
-    spark = events.sparkSession
-    base = shared_dir(spark, "chain")
-    stretches = prepared.join(index, [chain, "_slice"]).groupBy(chain, "round").agg(gathered)
-    stretches.write.partitionBy("round").parquet(f"{base}/stretches")
-    kept = spark.read.parquet(f"{base}/stretches")
-    last = resume
-    for n in range(rounds):
-        out = f"{base}/links/part={n}"
-        part = kept.where(F.col("round") == n).drop("round")
-        _links(joined(part, last), chain, "_first").write.parquet(out)
-        last = last_hashes(spark.read.parquet(out), chain)
-    return spark.read.parquet(f"{base}/links").drop("part")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last, started = None, GENESIS, False
+        for b in batches:
+            keep, before, after = [], [], []
+            for key, place, start, end in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if key != of or not started:
+                    of, last, started = key, GENESIS, True
+                keep.append(place is not None)
+                if place is None:
+                    last = start
+                    continue
+                before.append(last)
+                last = hashlib.sha256(f"{start}{last}{end}".encode()).hexdigest()
+                after.append(last)
+            rows = b.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), rows.column(1), pa.array(before, pa.string()), pa.array(after, pa.string())],
+                names=out,
+            )
+
+    out = [chain, "seq", "prev_event_hash", "event_hash"]
+    kind = prepared.schema[chain].dataType.simpleString()
+    sorted_ = prepared.repartition(chain).sortWithinPartitions(chain, F.col("seq").asc_nulls_first())
+    return sorted_.mapInArrow(
+        walk, f"{name(chain)} {kind}, seq bigint, prev_event_hash string, event_hash string"
+    )
 
 
 def chain_events(
@@ -194,13 +173,11 @@ def chain_events(
     chain: str = "chain_id",
     seq: str = "seq",
     resume: DataFrame | None = None,
-    stretch: int = 20_000,
 ) -> DataFrame:
     """The events with their previous and own hash. Joined on (chain, seq), which is unique."""
-    links = chain_links(events, salt, chain, seq, resume, stretch)
-    if seq != "seq":
-        links = links.withColumnRenamed("seq", seq)
-    return events.join(links, [chain, seq])
+    links = chain_links(events, salt, chain, seq, resume).toDF("_of", "_at", "prev_event_hash", "event_hash")
+    same = F.col(name(chain)).eqNullSafe(F.col("_of")) & (F.col(name(seq)) == F.col("_at"))
+    return events.join(links, same).drop("_of", "_at")
 
 
 def verify_links(

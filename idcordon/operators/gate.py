@@ -55,6 +55,7 @@ def _with_verdicts(left: DataFrame, verdicts: DataFrame, key: str, needed: str)
     return joined.selectExpr(
         *[name(c) for c in left.columns],
         "_needed",
+        f"{missing} AS answer_missing",
         *[f"if({missing}, {value}, {column}) AS {column}" for column, value in closed.items()],
     )
 
@@ -68,6 +69,7 @@ def gate(
     keep: list[str] = (),
     ask: bool = False,
     turn_blocked: str | None = None,
+    skip: str | None = None,
     scan: ScanOptions = ScanOptions(),
     policy: PolicyOptions = PolicyOptions(),
 ) -> DataFrame:
@@ -76,10 +78,14 @@ def gate(
     ``responses`` holds at most one answer per ``key``: success, response, error_message.
     With ``ask`` a ``force_ask`` decision stays; otherwise it denies, as for prompts.
     ``turn_blocked`` names a boolean column: true denies before anything is read.
+    ``skip`` (SQL over the columns): such texts are let through unread. ``answer_missing``
+    tells where an answer was needed and none came.
     """
     text = name(text_col)
     early = name(turn_blocked) if turn_blocked else "false"
     columns = list(dict.fromkeys([key, *keep, *([turn_blocked] if turn_blocked else [])]))
+    unread = " OR ".join(["false", *([f"coalesce({early}, false)"] if turn_blocked else []), *([f"coalesce({skip}, false)"] if skip else [])])
+    texts = texts.selectExpr(*[name(c) for c in columns], f"if({unread}, NULL, {text}) AS {text}")
     if "identifiers" in stages:
         reports = text_report(texts.select(*columns, text_col), text_col, scan)
         hit = "blocked_by_policy"
@@ -107,7 +113,7 @@ def gate(
         both = _with_verdicts(first, policy_verdicts(responses, key, policy), key, needed)
     else:
         both = first.selectExpr(
-            "*", "false AS _needed", "true AS p_allowed", "'allow' AS p_decision",
+            "*", "false AS _needed", "false AS answer_missing", "true AS p_allowed", "'allow' AS p_decision",
             "'' AS p_reason", "0.0D AS p_risk",
             "cast(NULL AS array<string>) AS p_violations", "cast(NULL AS array<string>) AS p_codes",
         )
@@ -141,6 +147,7 @@ def gate(
         "if(_early, NULL, spans) AS spans",
         f"if({denied}, p_violations, NULL) AS policy_violations",
         f"if({denied}, p_codes, NULL) AS policy_codes",
+        "answer_missing",
     )
 
 

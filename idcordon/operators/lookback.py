@@ -16,7 +16,7 @@ def last_before(
     A plain window would sort all rows of a key in one task. Here ``segment`` (an SQL
     expression that does not decrease in ``order``) cuts each key into stretches: rows
     look back inside their stretch, and one row per stretch tells what came before it.
-    Keys must not be null.
+    Null keys are keys like any other.
     """
     cut = df.select(
         "*",
@@ -44,7 +44,9 @@ def last_before(
         "_segment",
         *[F.last(f"_value_{out}", ignorenulls=True).over(inside).alias(f"_inside_{out}") for out in values],
     )
-    return looked.join(carried, stretch, "left").select(
+    ends = carried.toDF(*[f"_of_{c}" for c in stretch], *carried.columns[len(stretch) :])
+    same = F.expr(" AND ".join(f"{name(c)} <=> {name(f'_of_{c}')}" for c in stretch))
+    return looked.join(ends, same, "left").select(
         *[F.col(name(c)) for c in df.columns],
         *[F.coalesce(f"_inside_{out}", f"_carried_{out}").alias(out) for out in values],
     )

@@ -56,7 +56,7 @@ def guard_events(
     judged = gate(
         texts, "event_id", "scan_text", responses,
         keep=["conversation", ts, "event_type", "step_idx", "tool_name", "text_source"],
-        ask=True, scan=scan, policy=policy,
+        ask=True, skip="event_type = 'post_invocation'", scan=scan, policy=policy,
     )
     kinds = {"pre_tool_use": "tool", "post_invocation": "post", "pre_invocation": "prompt"}
     kind = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in kinds.items()) + " END"

@@ -481,7 +481,7 @@ def chained() -> str:
         SELECT chain_id, seq, n, '{GENESIS}' AS prev_event_hash, sha256(head || '{GENESIS}' || tail) AS event_hash FROM numbered WHERE n = 1
         UNION ALL
         SELECT x.chain_id, x.seq, x.n, l.event_hash, sha256(x.head || l.event_hash || x.tail)
-        FROM links l JOIN numbered x ON x.chain_id = l.chain_id AND x.n = l.n + 1)"""
+        FROM links l JOIN numbered x ON x.chain_id IS NOT DISTINCT FROM l.chain_id AND x.n = l.n + 1)"""
 
 
 # --- controls ---------------------------------------------------------------------

@@ -29,7 +29,6 @@ from idcordon.plans import views as v
 from idcordon.plans.guard import card_documents, guard_and_audit, guard_events
 from idcordon.sources import records, sinks
 from idcordon.sources.shared import shared_dir, stored
-from idcordon.sources.spread import spread
 from idcordon.streaming.audit import stream_chain
 from idcordon.streaming.scan import stream_scan
 from idcordon.streaming.tables import drain, parquet_stream
@@ -143,7 +142,7 @@ def stored_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("src_audit_jsonl", f"""{o.chained()}
     SELECT event_id, conversation_id, decision, CAST(risk AS DOUBLE) AS risk_score, violation, l.event_hash AS event_hash, true AS readable
-    FROM links l JOIN au USING (chain_id, seq)""")
+    FROM links l JOIN au USING (seq)""")
 def src_audit_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the trail as JSON lines, read it back."""
     path = shared_dir(spark, "audit-lines")
@@ -303,7 +302,7 @@ def strict_off(spark: SparkSession, sf_dir: str) -> DataFrame:
            head || substr(text, tail + 1) AS redacted_text FROM sums JOIN texts USING (text_id)""")
 def card_documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: documents with a valid payment card number, redacted."""
-    return card_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return card_documents(v.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 # --- validity ---------------------------------------------------------------------
@@ -526,9 +525,7 @@ def missing_response_denied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that are denied because no usable answer came."""
     texts_ = v.SPIKED.frame(spark, sf_dir)
     judged = gate(texts_, "k", "text", v.RESPONSES.frame(spark, sf_dir))
-    return judged.where(
-        "stage = 'policy' AND get(policy_violations, 0) LIKE '%No usable answer%'"
-    ).select("k", "verdict", "risk_score")
+    return judged.where("stage = 'policy' AND answer_missing").select("k", "verdict", "risk_score")
 
 
 @register("stage1_only_gate", f"""{_SPIKED_REPORT} SELECT text_id AS k, CASE WHEN blocked_by_policy THEN 'deny' ELSE 'allow' END AS verdict,
@@ -760,11 +757,23 @@ def post_terminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_blocks(v.TURNS.frame(spark, sf_dir)).where("kind = 'post'").select("event_id", "terminate")
 
 
-def streamed(spark: SparkSession, frame: DataFrame) -> DataFrame:
-    """A derived view as a stream: stored as files in the shared folder, then read as they come."""
-    path = shared_dir(spark, "stream-in")
-    frame.write.parquet(path)
-    return parquet_stream(spark, path, frame.schema)
+def streamed(spark: SparkSession, frame: DataFrame, order: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a streaming job gives for a derived view that arrives in three parts, one after the other.
+
+    Each part is appended to a folder and drained before the next one comes, so the state goes
+    over from run to run through the stream's checkpoint.
+    """
+    source, out, checkpoint = (shared_dir(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
+    cuts = frame.agg(F.percentile_approx(order, [0.33, 0.67])).first()[0] or []
+    place = " + ".join(f"CAST({order} > {_literal(c)} AS INT)" for c in cuts) or "0"
+    for part in range(len(cuts) + 1):
+        frame.where(f"{place} = {part}").write.mode("append").parquet(source)
+        drain(job(parquet_stream(spark, source, frame.schema)), out, checkpoint)
+    return spark.read.parquet(out)
+
+
+def _literal(value: object) -> str:
+    return str(value) if isinstance(value, int) else f"'{value}'"
 
 
 @register("stream_scan", o.reports("SELECT doc_id AS text_id, source AS grp, text FROM documents")
@@ -778,16 +787,14 @@ def stream_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("turn_block_stream", f"WITH {o.turns()} SELECT event_id, kind, blocked, kind = 'post' AND blocked AS terminate FROM flags")
 def turn_block_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = streamed(spark, v.TURNS.frame(spark, sf_dir))
-    out = drain(stream_turn_blocks(stream))
-    return spark.read.parquet(out).select("event_id", "kind", "blocked", "terminate")
+    turns = v.TURNS.frame(spark, sf_dir)
+    return streamed(spark, turns, "event_id", stream_turn_blocks).select("event_id", "kind", "blocked", "terminate")
 
 
 @register("stream_audit", f"{o.chained()} SELECT chain_id, seq, prev_event_hash, event_hash FROM links")
 def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = streamed(spark, audit_records(spark, sf_dir))
-    out = drain(stream_chain(stream, o.SALT))
-    return spark.read.parquet(out).select("chain_id", "seq", "prev_event_hash", "event_hash")
+    events = audit_records(spark, sf_dir)
+    return streamed(spark, events, "seq", lambda stream: stream_chain(stream, o.SALT)).select("chain_id", "seq", "prev_event_hash", "event_hash")
 
 
 # --- whole jobs -------------------------------------------------------------------

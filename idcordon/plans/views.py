@@ -11,7 +11,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from idcordon.sources.spread import spread
+
+PARTITIONS = "idcordon.input.partitions"
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt to so many partitions as the session asks for, else as the source has them.
+
+    For bench and trial runs over files of a single split; tables of many splits need no such setting.
+    """
+    n = df.sparkSession.conf.get(PARTITIONS, "")
+    return df.repartition(int(n)) if n else df
 
 
 @dataclass(frozen=True)
@@ -21,7 +31,7 @@ class View:
     where: str | None = None
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = spread(spark.read.parquet(f"{sf_dir}/{self.table}.parquet"))
+        df = dealt(spark.read.parquet(f"{sf_dir}/{self.table}.parquet"))
         for layer in self.layers:
             df = df.selectExpr(*layer)
         return df.where(self.where) if self.where else df
@@ -293,7 +303,7 @@ AUDIT = View(
     "events",
     (
         (
-            "'u' || CAST(user_id AS STRING) AS chain_id", "event_id AS seq", "ts",
+            "CASE WHEN user_id % 50 <> 7 THEN 'u' || CAST(user_id AS STRING) END AS chain_id", "event_id AS seq", "ts",
             "'FSI-' || lpad(CAST(event_id AS STRING), 12, '0') AS event_id",
             "'u' || CAST(user_id AS STRING) AS conversation_id",
             "CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 50 END AS step_idx",

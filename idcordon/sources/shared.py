@@ -7,23 +7,36 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new path below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent and Spark runs in this process, as in tests, is a
-    local folder used; a cluster without the setting is an error.
+    Where that setting is absent, the folder given to ``setCheckpointDir`` counts; a session with
+    neither is an error, as a folder of one machine is of no use to the others. Only a session
+    that runs in this process alone, as in tests, gets one of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    base = base or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="idcordon-"))
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="idcordon-"))
+        base = context.getCheckpointDir()
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(context.applicationId, []).append(path)
+    return path
+
+
+def drop_shared(spark: SparkSession) -> int:
+    """Remove what this session has written to the shared folder; call it when results are stored elsewhere."""
+    jvm, paths = spark.sparkContext._jvm, _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

@@ -14,18 +14,28 @@ from idcordon.config import BLOCK_SECONDS
 _OUT = "conversation_id string, event_id bigint, kind string, blocked boolean, terminate boolean"
 
 
-def stream_turn_blocks(events: DataFrame, seconds: int = BLOCK_SECONDS) -> DataFrame:
+def stream_turn_blocks(
+    events: DataFrame, seconds: int = BLOCK_SECONDS, lateness: str | None = None
+) -> DataFrame:
     """Blocked and terminate for each event of a stream.
 
     ``events``: conversation_id, ts, event_id, kind (prompt, tool, post), denied. State is
-    the time of the last denial and exists only while a denial stands. Times are event times.
-    Events of one micro-batch are sorted; the flag is handed on to the next one.
+    the time of the last denial; the next prompt or after-event ends it. Times are event times.
+    Events of one micro-batch are sorted; the flag is handed on to the next one. A task holds the
+    rows of one conversation in one micro-batch, so bound the batches (``files_per_batch``).
+
+    With ``lateness`` (such as ``10 minutes``) events may come so much out of order, and a denial
+    of a conversation that ends on it is forgotten once no event can be blocked by it any more.
+    Without it such a denial stays in the state.
     """
     life = seconds * 1_000_000
 
     def walk(
         key: tuple[str], chunks: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         since = state.get[0] if state.exists else None
         rows = pd.concat(list(chunks)).sort_values(["at", "event_id"], kind="stable")
         flags = []
@@ -41,10 +51,16 @@ def stream_turn_blocks(events: DataFrame, seconds: int = BLOCK_SECONDS) -> DataF
                 state.remove()
         else:
             state.update((since,))
+            if lateness:
+                end = (since + life) // 1000 + 1
+                state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         out = rows[["conversation_id", "event_id", "kind"]].assign(blocked=flags)
         yield out.assign(terminate=out["blocked"] & (out["kind"] == "post"))
 
+    if lateness:
+        events = events.withWatermark("ts", lateness)
     narrow = events.select(
+        *(["ts"] if lateness else []),
         "conversation_id",
         F.col("event_id").cast("bigint").alias("event_id"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
@@ -52,5 +68,6 @@ def stream_turn_blocks(events: DataFrame, seconds: int = BLOCK_SECONDS) -> DataF
         F.coalesce("denied", F.lit(False)).alias("denied"),
     )
     return narrow.groupBy("conversation_id").applyInPandasWithState(
-        walk, _OUT, "since bigint", "append", GroupStateTimeout.NoTimeout
+        walk, _OUT, "since bigint", "append",
+        GroupStateTimeout.EventTimeTimeout if lateness else GroupStateTimeout.NoTimeout,
     )

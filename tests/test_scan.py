@@ -152,14 +152,14 @@ def test_catalog_file(spark, tmp_path):
         ("B_CODE", 0, "[REDACTED_B_CODE]"), ("PAN", 4, "ABXXXXX34F")]
 
 
-def test_only_small_inputs_are_spread(spark, tmp_path):
-    from idcordon.sources.spread import spread
-
-    spark.range(50).coalesce(1).write.parquet(str(tmp_path / "t"))
-    df = spark.read.parquet(str(tmp_path / "t"))
-    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(df, small=1).rdd.getNumPartitions() == 1
-    assert spread(df.repartition(9)).rdd.getNumPartitions() == 9
+def test_rows_are_dealt_only_on_request(spark):
+    from idcordon.plans.views import PARTITIONS, dealt
+
+    df = spark.range(50).coalesce(1)
+    assert dealt(df).rdd.getNumPartitions() == 1
+    spark.conf.set(PARTITIONS, "3")
+    assert dealt(df).rdd.getNumPartitions() == 3
+    spark.conf.unset(PARTITIONS)
 
 
 def test_a_custom_pattern_keeps_its_alternatives(spark):
