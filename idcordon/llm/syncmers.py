@@ -90,30 +90,34 @@ def likeness(a: str, b: str, options: SyncmerOptions) -> str:
     )
 
 
-def with_next(docs: DataFrame, columns: list[str], options: SyncmerOptions) -> DataFrame:
-    """Every row with ``next``: the columns of the row that follows by descending doc_id, after the last one the first.
+def stretches(docs: DataFrame, options: SyncmerOptions) -> DataFrame:
+    """Every row with ``bucket``, its stretch of the order by descending doc_id; ``borrowed`` rows are copies.
 
     Rows of the same id are ordered by text; a null id comes last. The order is cut into
-    stretches by quantiles of the id; each also gets the first row of the stretch after it, so
-    that no task holds more than a stretch.
+    stretches by quantiles of the id. Each also gets a copy of the first row of the stretch after
+    it (the last one of the first of all), so that no task holds more than a stretch.
     """
     spark = docs.sparkSession
+    ids = docs.select("doc_id")
     n = max(2, min(options.buckets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
     bounds = sorted({int(c) for c in cuts})  # one for each bucket
     array = f"array({', '.join(f'{b}L' for b in bounds)})" if bounds else "cast(array() AS array<bigint>)"
     # Stretch 0 has the largest ids; null ids are in the last one.
     bucket = F.expr(f"CASE WHEN doc_id IS NULL THEN {len(bounds)} ELSE size(filter({array}, b -> b > doc_id)) END")
-    own = docs.withColumn("bucket", bucket).withColumn("borrowed", F.lit(False))
-    heads = {r[0]: r[1] for r in docs.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id")).collect()}
+    heads = {r[0]: r[1] for r in ids.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id")).collect()}
     order = sorted(heads)
     lent = [(heads[b], order[i - 1]) for i, b in enumerate(order)]  # the first of each to the stretch before it
     firsts = spark.createDataFrame(lent, "head long, to int")
+    own = docs.withColumn("bucket", bucket).withColumn("borrowed", F.lit(False))
     others = docs.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("head")))  # a row for each bucket
-    others = others.withColumn("bucket", F.col("to")).withColumn("borrowed", F.lit(True)).drop("head", "to")
+    return own.unionByName(others.withColumn("bucket", F.col("to")).withColumn("borrowed", F.lit(True)).drop("head", "to"))
+
+
+def with_next(parted: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``stretches`` with ``next``: the columns of the row that follows; copies are left out."""
     line = Window.partitionBy("bucket").orderBy("borrowed", F.col("doc_id").desc_nulls_last(), "text")
-    both = own.unionByName(others).withColumn("next", F.lead(F.struct(*columns)).over(line))
-    return both.where("NOT borrowed").drop("bucket", "borrowed")
+    return parted.withColumn("next", F.lead(F.struct(*columns)).over(line)).where("NOT borrowed").drop("bucket", "borrowed")
 
 
 def fingerprints(docs: DataFrame, options: SyncmerOptions | None = None) -> DataFrame:
@@ -123,7 +127,7 @@ def fingerprints(docs: DataFrame, options: SyncmerOptions | None = None) -> Data
     """
     options = options or SyncmerOptions()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(sketch(rows, "text", "own", options), ["text", "own"], options)
+    rows = with_next(sketch(stretches(rows, options), "text", "own", options), ["text", "own"])
     half = "CAST(length(text) div 2 AS INT)"
     rows = rows.selectExpr(
         "doc_id", "length(text) AS n_chars", "own", "next.own AS other",
