@@ -127,7 +127,7 @@ FILTERS: dict[str, Callable[..., Any]] = {
 
 # ---------------------------------------------------------------- parser
 
-_TAG = re.compile(r"\{\{-?|\{%-?|\{#")
+_TAG = re.compile(r"\{\{-?|\{%-?|\{#-?")
 _TOKEN = re.compile(
     r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z]\w*)"
     r"|(?P<op>==|!=|<=|>=|[-+*~<>|.,()\[\]=]))",
