@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -201,10 +203,39 @@ def catalog_frame(spark: SparkSession, entities: tuple[Entity, ...] = ENTITIES)
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
 
+def ends_with_its_group(regex: str) -> bool:
+    """Whether group 1, where it takes part, ends where the hit ends: behind it only tests of width zero."""
+    depth, start, stack, in_class, i = 0, None, [], False, 0
+    while i < len(regex):
+        c = regex[i]
+        if c == "\\":
+            i += 2
+            continue
+        if in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+            i += regex[i + 1 : i + 2] in ("]", "^")
+        elif c == "(":
+            named = regex.startswith("(?P<", i) or re.match(r"\(\?<[A-Za-z]", regex[i:])
+            capturing = not regex.startswith("(?", i) or bool(named)
+            stack.append(i if capturing and start is None else None)
+            if capturing and start is None:
+                start, depth = i, len(stack)
+        elif c == ")":
+            if stack.pop() is not None:
+                rest = regex[i + 1 :]
+                return depth == 1 and re.match(r"(\\b|\\B|\$|\(\?<?[!=][^()]*\))*(\||\Z)", rest) is not None
+        i += 1
+    return start is None
+
+
 def load_catalog(spark: SparkSession, path: str) -> tuple[Entity, ...]:
     """Read a catalog file: ``{"entities": {key: {name, category, severity, ...}}}``.
 
-    Entries without a pattern are skipped; a missing file is an error. The catalog is
+    Entries without a pattern are skipped; a missing file is an error. So is a pattern of an
+    identifier with context whose group 1 isn't the end of the hit: its place could not be told
+    from the hit's end, and digits before it would stay in the redacted text. The catalog is
     small by nature (one entry per kind of identifier) and shapes the plan, so it is
     read on the driver.
     """
@@ -230,6 +261,8 @@ def load_catalog(spark: SparkSession, path: str) -> tuple[Entity, ...]:
         severity = spec["severity"] or "HIGH"
         if category not in CATEGORIES or severity not in SEVERITY_RANK:
             raise ValueError(f"{key}: unknown category or severity")
+        if known and known.context and not same and not ends_with_its_group(spec["regex"]):
+            raise ValueError(f"{key}: the capture group must end the pattern")
         loaded.append(
             Entity(
                 key,

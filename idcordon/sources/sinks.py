@@ -10,9 +10,14 @@ REGULATED_TAGS = ("RBI_MD_IT_2023", "SEBI_CSCRF_2024")
 AUDITED_TYPE = "audited_resource"
 
 
-def append_audit(events: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append events, one folder per day, so that retention can drop whole days."""
-    events.write.mode("append").partitionBy("event_date").format(fmt).save(path)
+def append_audit(events: DataFrame, path: str, fmt: str = "parquet", files_per_day: int = 8) -> None:
+    """Append events, one folder per day, so that retention can drop whole days.
+
+    Rows are dealt by day and a hash of their id first, so a day gets so many files at most,
+    and a day that holds most events is still written by several tasks.
+    """
+    part = F.pmod(F.xxhash64("event_id"), F.lit(files_per_day))
+    events.repartition("event_date", part).write.mode("append").partitionBy("event_date").format(fmt).save(path)
 
 
 def is_regulated(frameworks: str = "regulatory_frameworks", kind: str | None = None) -> Column:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from idcordon.config import ScanOptions
@@ -152,6 +153,20 @@ def test_catalog_file(spark, tmp_path):
         ("B_CODE", 0, "[REDACTED_B_CODE]"), ("PAN", 4, "ABXXXXX34F")]
 
 
+def test_a_context_pattern_must_end_with_its_group(spark, tmp_path):
+    from idcordon.functions.catalog import ENTITIES, ends_with_its_group
+
+    assert all(ends_with_its_group(e.pattern) for e in ENTITIES if e.context)
+    assert not ends_with_its_group(r"(\d{9,18}) account") and not ends_with_its_group(r"(?:x (\d+))|y")
+    assert ends_with_its_group(r"acc[(] (\d{9,18})\b(?!\d)")
+    key = next(e.key for e in ENTITIES if e.context)
+    path = tmp_path / "misplaced.json"
+    path.write_text(json.dumps({"entities": {key: {"name": "x", "category": "BANKING_DATA", "severity": "HIGH",
+                                                   "regulatory_frameworks": [], "regex": r"(\d{9,18}) account"}}}))
+    with pytest.raises(ValueError, match="capture group"):
+        load_catalog(spark, str(path))
+
+
 def test_rows_are_dealt_only_on_request(spark):
     from idcordon.plans.views import PARTITIONS, dealt
 
