@@ -15,6 +15,7 @@ from idcordon.operators.report import text_report
 from idcordon.operators.turns import turn_blocks
 from idcordon.sources.records import parse_events
 from idcordon.sources.shared import stored
+from idcordon.streaming.turns import stream_turn_blocks
 
 
 def scan_table(
@@ -48,26 +49,60 @@ def guard_events(
     lines. ``responses``: event_id, success, response, error_message. Texts are scanned
     once; the turn rule then runs over narrow verdict rows.
     """
+    prompts = None if transcripts is None else latest_user_prompt(transcripts, "transcript_path")
+    marked = _judged(payloads, prompts, responses, ts, scan, policy)
+    # The turn rule reads its input twice; the texts are scanned only once.
+    flagged = turn_blocks(stored(marked, "verdicts"), "conversation", ts, "event_id")
+    return _settled(flagged, [c for c in marked.columns if c not in ("kind", "denied")])
+
+
+def stream_guard_events(
+    payloads: DataFrame,
+    prompts: DataFrame | None,
+    responses: DataFrame,
+    ts: str = "ts",
+    scan: ScanOptions = ScanOptions(),
+    policy: PolicyOptions = PolicyOptions(),
+    lateness: str | None = None,
+) -> DataFrame:
+    """``guard_events`` over a stream of ``payloads``, with the same verdicts.
+
+    ``prompts`` (transcript_path, latest_prompt) and ``responses`` are tables. Parsing, scan and
+    gates keep no state; turns keep the last denial of a conversation (see ``stream_turn_blocks``).
+    """
+    marked = _judged(payloads, prompts, responses, ts, scan, policy)
+    kept = [c for c in marked.columns if c not in ("kind", "denied", "event_id")]
+    events = marked.selectExpr("*", "conversation AS conversation_id", f"{name(ts)} AS _at")
+    events = events.withColumnRenamed(ts, "_ts").withColumnRenamed("_at", "ts") if ts != "ts" else events.drop("_at")
+    carried = ["_ts" if c == ts and ts != "ts" else c for c in kept]
+    flagged = stream_turn_blocks(events, lateness=lateness, carry=tuple(carried)).drop("conversation_id")
+    return _settled(flagged.withColumnRenamed("_ts", ts), ["event_id", *kept])
+
+
+def _judged(
+    payloads: DataFrame, prompts: DataFrame | None, responses: DataFrame, ts: str, scan: ScanOptions, policy: PolicyOptions
+) -> DataFrame:
+    """Verdicts of both stages with ``kind`` and ``denied``, before the turn rule."""
     parsed = event_type(parse_events(payloads)).withColumn(
         "conversation", F.expr(conversation_key("conversation_id"))
     )
-    prompts = None if transcripts is None else latest_user_prompt(transcripts, "transcript_path")
-    texts = extract_text(parsed, prompts)
     judged = gate(
-        texts, "event_id", "scan_text", responses,
+        extract_text(parsed, prompts), "event_id", "scan_text", responses,
         keep=["conversation", ts, "event_type", "step_idx", "tool_name", "text_source"],
         ask=True, skip="event_type = 'post_invocation'", scan=scan, policy=policy,
     )
     kinds = {"pre_tool_use": "tool", "post_invocation": "post", "pre_invocation": "prompt"}
     kind = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in kinds.items()) + " END"
-    marked = judged.selectExpr(
+    return judged.selectExpr(
         "*", f"{kind} AS kind", "event_type = 'pre_invocation' AND verdict <> 'allow' AS denied"
     )
-    # The turn rule reads its input twice; the texts are scanned only once.
-    flagged = turn_blocks(stored(marked, "verdicts"), "conversation", ts, "event_id")
+
+
+def _settled(flagged: DataFrame, columns: list[str]) -> DataFrame:
+    """Final verdicts: a blocked turn denies a tool call, an after-event is let through."""
     held = "kind = 'tool' AND blocked"
     return flagged.selectExpr(
-        *[name(c) for c in judged.columns if c not in ("verdict", "stage", "reason", "risk_score")],
+        *[name(c) for c in columns if c not in ("verdict", "stage", "reason", "risk_score")],
         f"CASE WHEN {held} THEN 'deny' WHEN kind = 'post' THEN 'allow' "
         "WHEN kind = 'prompt' AND verdict <> 'allow' THEN 'deny' ELSE verdict END AS verdict",
         f"CASE WHEN {held} THEN 'turn' WHEN kind = 'post' THEN 'skipped' ELSE stage END AS stage",

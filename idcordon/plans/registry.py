@@ -26,7 +26,7 @@ from idcordon.operators.resolve import with_spans
 from idcordon.operators.turns import turn_blocks
 from idcordon.plans import oracle as o
 from idcordon.plans import views as v
-from idcordon.plans.guard import card_documents, guard_and_audit, guard_events
+from idcordon.plans.guard import card_documents, guard_and_audit, guard_events, stream_guard_events
 from idcordon.sources import records, sinks
 from idcordon.sources.shared import shared_dir, stored
 from idcordon.streaming.audit import stream_chain
@@ -831,6 +831,16 @@ def guard_events_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("event_id", "conversation", "event_type", "verdict", "stage", "reason", "risk_score", "terminate")
 
 
+@register("guard_events_stream", f"{_GUARDED} SELECT event_id, conversation, event_type, verdict, stage, reason, risk_score, terminate FROM final_of")
+def guard_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same verdicts from events that arrive in three parts."""
+    payloads = v.PAYLOADS.frame(spark, sf_dir).select("event_id", "ts", "payload")
+    answers = EVENT_RESPONSES.frame(spark, sf_dir).withColumnRenamed("k", "event_id")
+    prompts = stored(extract.latest_user_prompt(transcript_prompts(spark, sf_dir), "transcript_path"), "prompts")
+    judged = streamed(spark, payloads, "event_id", lambda stream: stream_guard_events(stream, prompts, answers))
+    return judged.select("event_id", "conversation", "event_type", "verdict", "stage", "reason", "risk_score", "terminate")
+
+
 @register("guard_and_audit", f"""{_GUARDED},
     shown AS (SELECT text_id, list({o._NAME} || ' (' || m || ')' ORDER BY n) AS found FROM kept GROUP BY text_id),
     logged AS (SELECT conversation AS chain_id, event_id AS seq, row_number() OVER (PARTITION BY conversation ORDER BY event_id) AS n,

@@ -15,7 +15,10 @@ _OUT = "conversation_id string, event_id bigint, kind string, blocked boolean, t
 
 
 def stream_turn_blocks(
-    events: DataFrame, seconds: int = BLOCK_SECONDS, lateness: str | None = None
+    events: DataFrame,
+    seconds: int = BLOCK_SECONDS,
+    lateness: str | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Blocked and terminate for each event of a stream.
 
@@ -26,9 +29,10 @@ def stream_turn_blocks(
 
     With ``lateness`` (such as ``10 minutes``) events may come so much out of order, and a denial
     of a conversation that ends on it is forgotten once no event can be blocked by it any more.
-    Without it such a denial stays in the state.
+    Without it such a denial stays in the state. ``carry`` names further columns to keep.
     """
     life = seconds * 1_000_000
+    kept = events.select(*carry).schema
 
     def walk(
         key: tuple[str], chunks: Iterator[pd.DataFrame], state: GroupState
@@ -55,7 +59,8 @@ def stream_turn_blocks(
                 end = (since + life) // 1000 + 1
                 state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         out = rows[["conversation_id", "event_id", "kind"]].assign(blocked=flags)
-        yield out.assign(terminate=out["blocked"] & (out["kind"] == "post"))
+        out = out.assign(terminate=out["blocked"] & (out["kind"] == "post"))
+        yield out.assign(record=rows["record"]) if carry else out
 
     if lateness:
         events = events.withWatermark("ts", lateness)
@@ -66,8 +71,12 @@ def stream_turn_blocks(
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
         "kind",
         F.coalesce("denied", F.lit(False)).alias("denied"),
+        *([F.to_json(F.struct(*carry)).alias("record")] if carry else []),
     )
-    return narrow.groupBy("conversation_id").applyInPandasWithState(
-        walk, _OUT, "since bigint", "append",
+    flagged = narrow.groupBy("conversation_id").applyInPandasWithState(
+        walk, _OUT + (", record string" if carry else ""), "since bigint", "append",
         GroupStateTimeout.EventTimeTimeout if lateness else GroupStateTimeout.NoTimeout,
     )
+    if not carry:
+        return flagged
+    return flagged.withColumn("record", F.from_json("record", kept)).select(*flagged.columns[:-1], "record.*")
