@@ -89,4 +89,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rindex_dedup": op9_rindex_dedup,
     "op10_chat_format": op10_chat_format,
 }
-ORACLES: dict[str, str] = {}
+
+
+def _escaped(column: str) -> str:
+    """Characters of a guarded text in DuckDB: a backslash more for each backslash and each control string."""
+    marks = ["chr(92)", *(f"'{c}'" for c in _chat.CONTROLS)]
+    return f"length({column}) + " + " + ".join(f"(length({column}) - length(replace({column}, {m}, ''))) // length({m})" for m in marks)
+
+
+ORACLES: dict[str, str] = {
+    "op10_chat_format": f"""WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+      sized AS (SELECT *, {_escaped("text")} + CASE role WHEN 'user' THEN length('[INST] ') + length(' [/INST]')
+        WHEN 'assistant' THEN length(' </s>') WHEN 'system' THEN length('<<SYS>><</SYS>>') + 4
+        ELSE length('[ROLE][/ROLE][/TEXT]') + {_escaped("role")} END AS chars FROM turns)
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
+    FROM sized GROUP BY conv_id""",
+}
