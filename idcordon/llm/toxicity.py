@@ -47,7 +47,7 @@ class ToxicityOptions:
 
     train_documents: int = 3000
     fit_documents: int = 1000
-    strings: int = 2_000_000
+    strings: int = 1_000_000
     order: int = 6
     shared: int = 3
     striking: float = 3.0
