@@ -312,7 +312,8 @@ def _sets_of(docs: DataFrame, signed: DataFrame, wanted: DataFrame, options: Jac
     texts = texts.join(sieve, F.floor(bit / 64).cast("int") == F.col("word")).where(
         F.expr("mask & shiftleft(1L, CAST(pmod(content, 64) AS INT)) <> 0")
     )
-    found = texts.join(one, (F.col("content") == F.col("of_content")) & F.col("doc_id").eqNullSafe(F.col("the_id")), "left_semi")
+    # An inner join with distinct rows: a semi-join would be pushed below the bitmap.
+    found = texts.join(one, (F.col("content") == F.col("of_content")) & F.col("doc_id").eqNullSafe(F.col("the_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # repeated rows come to one task
