@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
 Words are lower-cased runs of letters, digits and other non-ASCII characters; punctuation
-counts as space. Of each test item the n-grams that are rarest in the corpus (the rarer half)
-are its seeds. Wherever a document has a seed, the passage around it that could hold the item
-is aligned with the item by Smith-Waterman over words, so copies with words changed, left out
-or put in are found as well. The score is the alignment's over that of an exact copy.
+counts as space. Every n-gram of a test item is a seed. The passage around a seed that a
+document holds is as wide as an alignment at the threshold can be. Passages that hold too few
+of the item's words to reach it are put aside (no alignment scores more than the words in
+common give); the others are aligned with the item by Smith-Waterman over words. So each copy
+that keeps ``n`` words in a row is found, whatever else is changed, left out or put in. The
+score is the alignment's over that of an exact copy.
 
 The benchmark is matched in slices of at most ``slice_bytes`` of text, each sent to all tasks;
-the documents stay where they are, and nothing is shuffled but n-gram counts. Every document is
-matched with every item over its whole text.
+the documents stay where they are, and nothing is shuffled. Every document is matched with
+every item over its whole text.
 
 Defined results: null and empty texts match nothing. Items of fewer than ``n`` words (or null)
 can't be seeded and match nothing. Equal items are reported each. Repeated rows are matched
@@ -66,17 +68,6 @@ class Items:
         rows = np.column_stack([index[order], owner[place[order]], place[order] - first[owner[place[order]]]])
         return cls(ids, first, words, known, rows, np.searchsorted(rows[:, 0], np.arange(len(known) + 1)))
 
-    def rare(self, counts: np.ndarray) -> np.ndarray:
-        """Mask over ``gram_of``: seeds, the rarer half of each item's n-grams (ties by hash)."""
-        out = np.zeros(len(self.gram_of), dtype=bool)
-        count = counts[self.gram_of[:, 0]]
-        order = np.lexsort((self.grams[self.gram_of[:, 0]], count, self.gram_of[:, 1]))
-        item = self.gram_of[order, 1]
-        head = np.flatnonzero(np.diff(item, prepend=-1))
-        size = np.diff(head, append=len(item))
-        out[order[np.arange(len(item)) - np.repeat(head, size) < np.repeat((size + 1) // 2, size)]] = True
-        return out
-
 
 def word_values(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(first word of each text and the number of words, hashes of all words)."""
@@ -122,30 +113,73 @@ def align(items: list[np.ndarray], passages: list[np.ndarray], options: LeakOpti
     return best, end
 
 
-def leaks_of(texts: pa.Array, items: Items, seeds: np.ndarray, options: LeakOptions) -> Iterator[tuple[int, int, float, int, int]]:
-    """(text, item, score, from word, to word) of the pairs at or above the threshold."""
-    table, wanted = W.Table(items.grams), np.zeros(len(items.grams), dtype=bool)
-    wanted[items.gram_of[seeds, 0]] = True
-    rows_of = np.flatnonzero(seeds)
-    begin = np.searchsorted(items.gram_of[rows_of, 0], np.arange(len(items.grams) + 1))
-    for block in W.blocks(pc.utf8_lower(texts)):
-        words = W.split(block, _GAPS)
-        value = W.word_hashes(block, words)
-        hash_, place = grams(value, words.text, options.n)
-        at = table.find(hash_)
-        hit = np.flatnonzero((at >= 0) & wanted[np.maximum(at, 0)])
-        if not len(hit):
-            continue
-        times = begin[at[hit] + 1] - begin[at[hit]]
-        which = np.repeat(begin[at[hit]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        entry = items.gram_of[rows_of[which]]
-        where, item = np.repeat(place[hit], times), entry[:, 1]
+class Matcher:
+    """Finds the items of a slice in texts."""
+
+    def __init__(self, items: Items, options: LeakOptions) -> None:
+        self.items, self.options = items, options
+        self.table = W.Table(items.grams)
+        self.size = np.diff(items.first)
+        known, word = np.unique(items.words, return_inverse=True)
+        self.words, self.known = W.Table(known), len(known)
+        owner = np.repeat(np.arange(len(items.ids)), self.size)
+        pairs, self.times = np.unique(owner * self.known + word, return_counts=True)
+        self.pairs = W.Table(W.mix64(pairs.astype(_U)))  # item and word, with how often it has it
+        # So many words can be put in at most before a copy falls below the threshold.
+        self.slack = (self.size * options.match * max(0.0, 1 - options.threshold) / max(1, options.gap) + 1e-9).astype(np.int64)
+
+    def leaks_of(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
+        """(text, item, score, from word, to word) of the pairs at or above the threshold."""
+        for block in W.blocks(pc.utf8_lower(texts)):
+            words = W.split(block, _GAPS)
+            value = W.word_hashes(block, words)
+            hash_, place = grams(value, words.text, self.options.n)
+            at = self.table.find(hash_)
+            hit = np.flatnonzero(at >= 0)
+            if not len(hit):
+                continue
+            id_ = self.words.find(value)
+            found = [self._passages(words, id_, place[hit[some]], at[hit[some]]) for some in self._parts(self._times(at[hit]), 1 << 18)]
+            text, item, lo, hi = (np.concatenate(c) for c in zip(*found))
+            if len(text):
+                yield from _best(block, words, value, self.items, text, item, lo, hi, self.options)
+
+    def _times(self, gram: np.ndarray) -> np.ndarray:
+        return self.items.begin[gram + 1] - self.items.begin[gram]
+
+    @staticmethod
+    def _parts(weights: np.ndarray, limit: int) -> list[np.ndarray]:
+        """Places in runs of at most ``limit`` of weight, or of one place if that is heavier."""
+        run = np.cumsum(weights) // limit
+        return np.split(np.arange(len(weights)), np.flatnonzero(np.diff(run)) + 1)
+
+    def _passages(self, words: W.Words, id_: np.ndarray, where: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, item, from, to) of the passages around the seeds that could reach the threshold."""
+        times = self._times(gram)
+        entry = self.items.gram_of[np.repeat(self.items.begin[gram] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+        where, item = np.repeat(where, times), entry[:, 1]
+        start = where - entry[:, 2]
         text = words.text[where]
-        size = np.diff(items.first)[item]
-        # The item's words could begin half an item before or after where the seed puts them.
-        lo = np.maximum(words.first[text], where - entry[:, 2] - size // 2)
-        hi = np.minimum(words.first[text + 1], where - entry[:, 2] + size + size // 2 + 1)
-        yield from _best(block, words, value, items, text, item, lo, hi, options)
+        order = np.lexsort((start, item, text))  # seeds of one diagonal have the same passage
+        text, item, start = text[order], item[order], start[order]
+        new = np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1]))
+        text, item, start = text[new], item[new], start[new]
+        lo = np.maximum(words.first[text], start - self.slack[item])
+        hi = np.minimum(words.first[text + 1], start + self.size[item] + self.slack[item])
+        common = [self._common(id_, item[some], lo[some], hi[some]) for some in self._parts(hi - lo, 1 << 21)]
+        able = np.concatenate(common) >= self.options.threshold * self.size[item] - 1e-9
+        return text[able], item[able], lo[able], hi[able]
+
+    def _common(self, id_: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Words that each passage and its item have in common, repeated ones as often as both have them."""
+        length = hi - lo
+        owner = np.repeat(np.arange(len(lo)), length)
+        word = id_[np.repeat(lo - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+        owner, word = owner[word >= 0], word[word >= 0]
+        slot = self.pairs.find(W.mix64((item[owner] * self.known + word).astype(_U)))
+        owner, slot = owner[slot >= 0], slot[slot >= 0]
+        each, n = np.unique(owner * len(self.times) + slot, return_counts=True)
+        return np.bincount(each // len(self.times), weights=np.minimum(n, self.times[each % len(self.times)]), minlength=len(lo))
 
 
 def _best(block: W.Block, words: W.Words, value: np.ndarray, items: Items, text: np.ndarray, item: np.ndarray,
@@ -193,26 +227,6 @@ def _slices(benchmark: DataFrame, options: LeakOptions) -> list[Items]:
     return [s for s in out if len(s.grams)]
 
 
-def _seeds(docs: DataFrame, items: Items, options: LeakOptions) -> np.ndarray:
-    """Seeds by counts over the whole corpus."""
-    shared = docs.sparkSession.sparkContext.broadcast(items.grams)  # of one slice
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = W.Table(shared.value), np.zeros(len(shared.value), dtype=np.int64)
-        for b in batches:
-            for block in W.blocks(pc.utf8_lower(b["text"])):
-                words = W.split(block, _GAPS)
-                at = table.find(grams(W.word_hashes(block, words), words.text, options.n)[0])
-                total += np.bincount(at[at >= 0], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
-
-    got = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(items.grams), dtype=np.int64)
-    counts[got["gram"].to_numpy()] = got["n"].to_numpy()
-    return items.rare(counts)
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, options: LeakOptions | None = None) -> DataFrame:
     """doc_id, item_id, score, from_word and to_word: documents and the items they hold; a row for each pair."""
     options = options or LeakOptions()
@@ -220,13 +234,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: LeakOptions | None = N
     kinds = f"doc_id {doc_kind}, item_id {item_kind}, score double, from_word int, to_word int"
     out = docs.sparkSession.createDataFrame([], kinds)
     for items in _slices(benchmark, options):
-        shared = docs.sparkSession.sparkContext.broadcast((items, _seeds(docs, items, options)))
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items, seeds = shared.value
+            items = shared.value
+            matcher = Matcher(items, options)
             arrow = [pa.string() if item_kind == "string" else pa.int64(), pa.float64(), pa.int32(), pa.int32()]
             for b in batches:
-                found = list(leaks_of(b["text"], items, seeds, options))
+                found = list(matcher.leaks_of(b["text"]))
                 doc = b["doc_id"].take(pa.array([x[0] for x in found], pa.int64()))
                 rest = [[items.ids[x[1]] for x in found], *([x[k] for x in found] for k in (2, 3, 4))]
                 yield pa.RecordBatch.from_arrays(
@@ -241,13 +256,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, options: LeakOptions | None = N
     """The rows that hold no item, all columns."""
     options = options or LeakOptions()
     for items in _slices(benchmark, options):
-        shared = docs.sparkSession.sparkContext.broadcast((items, _seeds(docs, items, options)))
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items, seeds = shared.value
+            matcher = Matcher(shared.value, options)
             for b in batches:
                 keep = np.ones(len(b), dtype=bool)
-                keep[[x[0] for x in leaks_of(b["text"], items, seeds, options)]] = False
+                keep[[x[0] for x in matcher.leaks_of(b["text"])]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

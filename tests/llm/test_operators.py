@@ -247,6 +247,23 @@ def test_leaks_are_found_and_clean_rows_left(spark, odd, none):
     assert decontam.leaks(df, bench.where("false")).count() == 0 and decontam.clean(df, bench.where("false")).count() == len(rows)
 
 
+@pytest.mark.parametrize("every", [4, 5])
+@pytest.mark.parametrize("exact", [False, True])
+def test_copies_with_few_grams_left_are_found(spark, every, exact):
+    rng = random.Random(every)
+    items = [(k, prose(rng, 35)) for k in range(8)]
+    rows = [(k, prose(rng, 300)) for k in range(20)]
+    for k, text in items:
+        w = text.split()
+        w[every - 1 :: every] = ["changed"] * len(w[every - 1 :: every])
+        rows.append((100 + k, f"{prose(rng, 50)} {' '.join(w)} {prose(rng, 50)}"))
+        rows += [(200 + k, f"{prose(rng, 20)} {text}")] if exact else []
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(100 + k, k) for k in range(8)} | ({(200 + k, k) for k in range(8)} if exact else set())
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()} == want
+    assert {r.doc_id for r in decontam.clean(df, bench).collect()} == set(range(20))
+
+
 def test_alignment_is_smith_waterman():
     import numpy as np
 
