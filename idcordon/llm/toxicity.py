@@ -9,7 +9,8 @@ document's evidence: its mean per word, its largest word, and the sum of what st
 logistic fit on labelled documents that the models have not seen turns it into a probability.
 
 The models learn from a sample of the labelled documents, bounded for each kind and taken by a
-hash of the id; every document is scored over its whole text.
+hash of the id. All strings of the sample are kept, so discounts and continuation counts are
+those of the whole sample. Every document is scored over its whole text.
 
 Texts are lower-cased; words are runs of letters, digits and other non-ASCII characters. Defined
 results: null and empty texts and texts without words carry no evidence and get the probability
@@ -39,7 +40,7 @@ _U = np.uint64
 @dataclass(frozen=True)
 class ToxicityOptions:
     """train_documents: labelled documents of each kind to learn the models from, at most. fit_documents: of
-    each kind, at most, for the logistic fit. strings: most frequent strings that are kept.
+    each kind, at most, for the logistic fit.
 
     order: bytes of a string, at most 7. shared: contexts shorter than that are counted over both kinds.
     striking: gain from which on a word stands out. threshold: least score of the label 1.
@@ -47,7 +48,6 @@ class ToxicityOptions:
 
     train_documents: int = 3000
     fit_documents: int = 1000
-    strings: int = 1_000_000
     order: int = 6
     shared: int = 3
     striking: float = 3.0
@@ -164,8 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, learnt: Column, options: ToxicityO
     sample = stored(_sample(labels, learnt, options), "toxicity-sample")
     # A bounded number of rows goes to all tasks; the texts stay where they are.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("of_id"))
-    counts = _counted(rows.where("NOT fit"), options.order)
-    counts = counts.orderBy(F.desc(F.col("n0") + F.col("n1")), "code").limit(options.strings).toArrow()
+    counts = _counted(rows.where("NOT fit"), options.order).toArrow()  # of a bounded number of rows
     n = np.column_stack([counts["n0"].to_numpy(), counts["n1"].to_numpy()])
     if not len(n) or not n.sum(axis=0).all():
         return None
@@ -193,7 +192,7 @@ def _counted(rows: DataFrame, order: int) -> DataFrame:
 
 
 def _fitted(rows: DataFrame, model: ToxicityModel, shares: dict[int, int], options: ToxicityOptions) -> ToxicityModel:
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # at most ``strings`` strings
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # strings of a bounded number of rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, options)

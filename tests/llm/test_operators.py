@@ -307,6 +307,19 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert toxicity.score(none, toxicity.train(none, labels, F.lit(True))).count() == 0
 
 
+def test_toxicity_keeps_every_string_of_its_sample(spark):
+    rng = random.Random(11)
+    rows = [(k, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz \u0436\u044f", k=150_000))) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = df.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    model = toxicity.train(df, labels, F.lit(True), toxicity.ToxicityOptions(fit_documents=0))
+    seen = set()
+    for _, text in rows:
+        data = b"\0" * 5 + text.encode() + b"\xff"
+        seen.update(data[i : i + 6] for i in range(len(data) - 5))
+    assert len(seen) > 1_000_000 and model.codes[-1].tolist() == sorted(int.from_bytes(x, "big") for x in seen)
+
+
 def test_word_scores_by_force_and_a_proper_model(spark, odd, none):
     rows = [(r.doc_id, r.text or "") for r in odd.collect()]
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
