@@ -1,11 +1,14 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A text is a row of symbols: its words, or its code points if it has few words. A run of ``k``
+A text is a row of symbols, its words. A text of few words is also a row of its code points and
+gets a second sketch of these. Two texts of few words are compared by code points, all others
+by words, which every text has. A run of ``k``
 symbols is a closed syncmer if the least hash among the runs of ``s`` symbols inside it is that
 of the first or the last of them. Whether a run is chosen depends on the run alone, so an edit
 changes only the anchors that touch it, and the same passage has the same anchors in every
-text. The fingerprint is the sketch of the ``size`` least anchor hashes, as hexadecimal digits;
-its likeness to another one estimates the share of common anchors.
+text. The fingerprint is the sketch of the ``size`` least anchor hashes, as hexadecimal digits,
+in texts of few words followed by ``-`` and the digits of the second sketch; its likeness to
+another one estimates the share of common anchors.
 
 Defined results: a null text is empty; the fingerprint of an empty text is empty. A text with
 fewer than ``k`` symbols has one anchor, the whole text. Two empty fingerprints are alike (1),
@@ -25,7 +28,7 @@ from idcordon.functions.sql import name, once
 
 @dataclass(frozen=True)
 class SyncmerOptions:
-    """few: below so many words the symbols are code points. buckets: most stretches of the order by id."""
+    """few: below so many words code points are sketched too. buckets: most stretches of the order by id."""
 
     k: int = 5
     s: int = 2
@@ -38,12 +41,12 @@ _GAP = "[ \\\\t-\\\\r]+"
 _BLANK = "' \\t\\n\\u000b\\f\\r'"
 
 
-def anchors(df: DataFrame, text: str, out: str, options: SyncmerOptions) -> DataFrame:
-    """Adds ``out``: position (of the first symbol) and hash of each closed syncmer, in order.
+def anchors(df: DataFrame, symbols: str, out: str, options: SyncmerOptions) -> DataFrame:
+    """``symbols``, an array, becomes ``out``: position (of the first symbol) and hash of each closed syncmer, in order.
 
-    Each step is evaluated once for a row, behind a one-row generator.
+    No symbols or null give null. Each step is evaluated once for a row, behind a one-row generator.
     """
-    kept = [name(c) for c in df.columns]
+    kept = [name(c) for c in df.columns if c != symbols]
     inner = options.k - options.s  # the last inner run's place in its run
     # Four inner runs: the first and last against those between.
     ends = f"least(g[i], g[i + {inner}])"
@@ -52,15 +55,12 @@ def anchors(df: DataFrame, text: str, out: str, options: SyncmerOptions) -> Data
     mixed = ", ".join(f"h[i + {j}]" for j in range(options.s))
     run = ", ".join(f"g[i + {j}]" for j in sorted({*range(0, inner, options.s), inner}))
     return (
-        df.selectExpr(*kept, once(f"split(trim(BOTH {_BLANK} FROM {name(text)}), '{_GAP}')", "w"))
-        .selectExpr(*kept, once(f"CASE WHEN size(w) < {options.few} THEN split({name(text)}, '') ELSE w END", "w"))
-        .selectExpr(*kept, once("transform(w, x -> xxhash64(x))", "h"))
+        df.selectExpr(*kept, once(f"transform({name(symbols)}, x -> xxhash64(x))", "h"))
         .selectExpr(*kept, "h", once(f"CASE WHEN size(h) >= {options.k} THEN transform(sequence(0, size(h) - {options.s}), i -> xxhash64({mixed})) END", "g"))
         .selectExpr(
             *kept,
             once(
-                f"CASE WHEN {name(text)} = '' THEN cast(array() AS array<struct<position: int, hash: bigint>>) "
-                "WHEN g IS NULL THEN array(named_struct('position', 0, 'hash', xxhash64(h))) "
+                "CASE WHEN h IS NULL THEN NULL WHEN g IS NULL THEN array(named_struct('position', 0, 'hash', xxhash64(h))) "
                 f"ELSE transform({chosen}, i -> named_struct('position', i, 'hash', xxhash64({run}))) END",
                 name(out),
             ),
@@ -68,25 +68,43 @@ def anchors(df: DataFrame, text: str, out: str, options: SyncmerOptions) -> Data
     )
 
 
-def sketch(df: DataFrame, text: str, out: str, options: SyncmerOptions) -> DataFrame:
-    """Adds ``out``: the least distinct anchor hashes, 32 bits of each, in order."""
-    kept = [name(c) for c in df.columns]
-    return anchors(df, text, "_anchors", options).selectExpr(
+def _least(df: DataFrame, symbols: str, out: str, options: SyncmerOptions) -> DataFrame:
+    """``symbols`` becomes ``out``: the least distinct anchor hashes, 32 bits of each, in order."""
+    kept = [name(c) for c in df.columns if c != symbols]
+    return anchors(df, symbols, "_anchors", options).selectExpr(
         *kept, once(f"slice(array_sort(array_distinct(transform(_anchors, a -> a.hash & 4294967295L))), 1, {options.size})", name(out))
     )
 
 
+def sketch(df: DataFrame, text: str, out: str, options: SyncmerOptions) -> DataFrame:
+    """Adds ``out``: the sketches of the words and, in texts of few words, of the ``points``, else null."""
+    kept = [name(c) for c in df.columns]
+    df = df.selectExpr(*kept, once(f"split(trim(BOTH {_BLANK} FROM {name(text)}), '{_GAP}')", "_w"))
+    df = df.selectExpr(
+        *kept, once(f"CASE WHEN size(_w) < {options.few} AND {name(text)} <> '' THEN split({name(text)}, '') END", "_c"),
+        f"CASE WHEN {name(text)} <> '' THEN _w END AS _w",
+    )
+    df = _least(_least(df, "_c", "_points", options), "_w", "_words", options)
+    return df.selectExpr(*kept, f"named_struct('words', coalesce(_words, cast(array() AS array<bigint>)), 'points', _points) AS {name(out)}")
+
+
 def digits(sketch: str) -> str:
     """The fingerprint: eight digits for each anchor."""
-    return f"array_join(transform({sketch}, x -> lpad(lower(hex(x)), 8, '0')), '')"
+    words, points = (f"array_join(transform({sketch}.{part}, x -> lpad(lower(hex(x)), 8, '0')), '')" for part in ("words", "points"))
+    return f"concat({words}, coalesce(concat('-', {points}), ''))"
 
 
 def likeness(a: str, b: str, options: SyncmerOptions) -> str:
-    """Share of the least hashes of both that both have."""
-    union = f"slice(array_sort(array_union({a}, {b})), 1, {options.size})"
+    """Share of the least hashes of both that both have, of the code points if both are texts of few words."""
+
+    def share(part: str) -> str:
+        x, y = f"{a}.{part}", f"{b}.{part}"
+        union = f"slice(array_sort(array_union({x}, {y})), 1, {options.size})"
+        return f"CAST(size(array_intersect({union}, array_intersect({x}, {y}))) AS DOUBLE) / size({union})"
+
     return (
-        f"CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1.0D WHEN size({a}) = 0 OR size({b}) = 0 THEN 0.0D ELSE "
-        f"CAST(size(array_intersect({union}, array_intersect({a}, {b}))) AS DOUBLE) / size({union}) END"
+        f"CASE WHEN size({a}.words) = 0 AND size({b}.words) = 0 THEN 1.0D WHEN size({a}.words) = 0 OR size({b}.words) = 0 THEN 0.0D "
+        f"WHEN {a}.points IS NOT NULL AND {b}.points IS NOT NULL THEN {share('points')} ELSE {share('words')} END"
     )
 
 

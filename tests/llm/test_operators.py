@@ -403,6 +403,17 @@ def test_fingerprints(spark, odd, none):
     assert syncmers.fingerprints(odd.where("doc_id = 6")).first().near_next == 1.0
 
 
+def test_texts_of_few_and_of_more_words_are_compared(spark):
+    base = prose(random.Random(3), 40).split()
+    rows = [(5, " ".join(base[:32])), (4, " ".join(base[:31])), (3, " ".join(base)), (2, ""), (1, " ".join(base[:10])), (0, " ".join(base[:9]))]
+    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[5].near_next > 0.8 and got[4].near_next > 0.5  # 32 and 31 words, 31 and 40 words
+    assert got[3].near_edited > 0.3  # half of 40 words is left
+    assert got[1].near_next > 0.7  # both of few words
+    assert got[2].fingerprint == "" and got[2].near_next == 0.0
+    assert "-" in got[4].fingerprint and "-" not in got[5].fingerprint
+
+
 def test_fingerprints_stay_in_the_jvm(spark, odd):
     plan = syncmers.fingerprints(odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
