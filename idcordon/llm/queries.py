@@ -11,8 +11,11 @@ from idcordon.llm import chat as _chat
 from idcordon.llm import ctw as _ctw
 from idcordon.llm import decontam as _decontam
 from idcordon.llm import html as _html
+from idcordon.llm import licenses as _licenses
+from idcordon.llm import lloyd as _lloyd
 from idcordon.llm import mix as _mix
 from idcordon.llm import quality as _quality
+from idcordon.llm import ranked as _ranked
 from idcordon.llm import rindex as _rindex
 from idcordon.llm import setjoin as _setjoin
 from idcordon.llm import syncmers as _syncmers
@@ -77,6 +80,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chat.digests(_chat.format_conversations(turns))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op13_lloyd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lloyd.report(*_lloyd.cluster(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_source_mix": op2_source_mix,
@@ -88,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_syncmer_fingerprint": op8_syncmer_fingerprint,
     "op9_rindex_dedup": op9_rindex_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_license_scan": op12_license_scan,
+    "op13_lloyd_clusters": op13_lloyd_clusters,
 }
 
 
@@ -97,7 +115,91 @@ def _escaped(column: str) -> str:
     return f"length({column}) + " + " + ".join(f"(length({column}) - length(replace({column}, {m}, ''))) // length({m})" for m in marks)
 
 
+_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _ranking() -> str:
+    """Every document scored for every item, term by term."""
+
+    def terms(key: str, table: str) -> str:
+        found = f"regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+        return f"SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest({found}) AS term FROM {table}) GROUP BY ALL"
+
+    return f"""WITH tf AS ({terms("doc_id", "documents")}), asked AS ({terms("item_id", "benchmark")}),
+      sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+      whole AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM sizes),
+      weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, whole GROUP BY term, nn),
+      lengths AS (SELECT doc_id, 75 + (25 * n * nn) // ll AS m FROM sizes, whole),
+      scores AS (SELECT item_id, doc_id, CAST(sum(asked.tf * w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * m))) AS BIGINT) AS score
+        FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY ALL),
+      ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scores WHERE score > 0)
+    SELECT * FROM ranked WHERE rank <= 20"""
+
+
+def _licensed() -> str:
+    """Every window of every text held against every template."""
+    options = _licenses.LicenseOptions()
+    rows = []
+    for i, (label, text) in enumerate(options.templates):
+        words, larger = _licenses.template_words(text), _licenses.larger_templates(options)[i]
+        rows.append(f"({i}, '{label}', {_licenses.stride(text, options)}, {words}, {_licenses.needed(len(words), options.percent)}, CAST({larger} AS INT[]))")
+    cases = {label: phrase.split() for label, phrase in _licenses.PHRASES.items()}
+    found = " UNION ALL ".join(
+        f"SELECT id, '{label}' AS label, spot FROM (SELECT id, words, unnest(range(len(words))) AS spot FROM worded) WHERE "
+        + " AND ".join(f"words[spot + {j + 1}] = '{w}'" for j, w in enumerate(words))
+        for label, words in cases.items()
+    )
+    return f"""WITH worded AS (SELECT row_number() OVER () AS id, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+      base AS ({found}),
+      based AS (SELECT id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS base_labels FROM base GROUP BY id),
+      templates AS (SELECT * FROM (VALUES {", ".join(rows)}) AS t(i, label, stride, t_words, m, larger)),
+      strides AS (SELECT DISTINCT stride FROM templates),
+      cut AS (SELECT id, stride, words, unnest(range(0, len(words), stride)) AS spot FROM worded, strides),
+      windows AS (SELECT id, stride, spot, words[spot + 1 : spot + 2 * stride] AS part FROM cut),
+      held AS (SELECT id, w.stride, spot, i, label, larger, len(list_intersect(part, t_words)) / len(t_words) AS share
+        FROM windows w JOIN templates t ON t.stride = w.stride AND len(list_intersect(part, t_words)) >= m),
+      blocks AS (SELECT id, stride, spot, list(i) AS held FROM held GROUP BY ALL),
+      kept AS (SELECT id, label, share FROM held JOIN blocks USING (id, stride, spot) WHERE NOT list_has_any(larger, blocks.held)),
+      others AS (SELECT id, list(DISTINCT label) AS labels, max(share) AS share FROM kept GROUP BY id)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+      coalesce(array_to_string(list_sort(base_labels), ','), '') AS base_labels,
+      coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base_labels, []), coalesce(labels, [])))), ','), '') AS labels,
+      CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+    FROM worded LEFT JOIN based USING (id) LEFT JOIN others USING (id)"""
+
+
+def _clusters(k: int = 16, dims: int = 64, rounds: int = 3) -> str:
+    """Lloyd's rounds over single components."""
+    steps = [
+        f"""kept AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), embedding) AS row, vec_id, embedding FROM embeddings
+        WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        """parts AS (SELECT row, vec_id, d, CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) AS x
+        FROM (SELECT row, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM kept))""",
+        f"c0 AS (SELECT row - 1 AS c, d, x AS y FROM parts WHERE row <= {k})",
+    ]
+    for r in range(rounds + 1):
+        steps += [
+            f"far{r} AS (SELECT row, c, CAST(sum((x - y) * (x - y)) AS BIGINT) AS far FROM parts JOIN c{r} USING (d) GROUP BY ALL)",
+            f"near{r} AS (SELECT row, c, far FROM far{r} QUALIFY row_number() OVER (PARTITION BY row ORDER BY far, c) = 1)",
+        ]
+        if r < rounds:
+            mean = "CAST((total - ((total % n) + n) % n) // n AS BIGINT)"
+            steps += [
+                f"mean{r} AS (SELECT c, d, CAST(sum(x) AS BIGINT) AS total, count(*) AS n FROM parts JOIN near{r} USING (row) GROUP BY ALL)",
+                f"c{r + 1} AS (SELECT c, d, CASE WHEN n IS NULL THEN y ELSE {mean} END AS y FROM c{r} LEFT JOIN mean{r} USING (c, d))",
+            ]
+    return f"""WITH {", ".join(steps)},
+      shown AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+    SELECT vec_id, CAST(c AS INT) AS cluster, far AS distance, CAST(sum(far) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+      CAST(sum(far) OVER () AS BIGINT) AS inertia, centroid_sha256
+    FROM near{rounds} JOIN kept USING (row) JOIN shown USING (c)"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_ranked_search": _ranking(),
+    "op12_license_scan": _licensed(),
+    "op13_lloyd_clusters": _clusters(),
     "op10_chat_format": f"""WITH turns AS (
         SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
