@@ -37,27 +37,34 @@ def _key(name: str) -> str:
     return f'"{name}": '
 
 
+def _or_null(json: str) -> str:
+    return f"coalesce({json}, 'null')"
+
+
 def hash_parts(salt: str) -> tuple[str, str]:
-    """What stands before and after the link in the hashed text, over the columns of an event."""
+    """What stands before and after the link in the hashed text, over the columns of an event.
+
+    A null field, list or list item is written as ``null``, so neither part is ever null.
+    """
     violations = (
-        f"array_join(transform(detected_violations, w -> {json_string('w')}), ', ')"
+        f"concat('[', array_join(transform(detected_violations, w -> {_or_null(json_string('w'))}), ', '), ']')"
     )
     head = ", ".join(
         [
-            "'{" + _key("conversation_id") + "'", json_string("conversation_id"),
-            f"', {_key('decision')}'", json_string("decision"),
-            f"', {_key('detected_violations')}['", violations,
-            f"'], {_key('event_id')}'", json_string("event_id"),
-            f"', {_key('hook_name')}'", json_string("hook_name"),
+            "'{" + _key("conversation_id") + "'", _or_null(json_string("conversation_id")),
+            f"', {_key('decision')}'", _or_null(json_string("decision")),
+            f"', {_key('detected_violations')}'", _or_null(violations),
+            f"', {_key('event_id')}'", _or_null(json_string("event_id")),
+            f"', {_key('hook_name')}'", _or_null(json_string("hook_name")),
             f"', {_key('prev_event_hash')}\"'",
         ]
     )
     tail = ", ".join(
         [
-            f"'\", {_key('risk_score')}'", py_float("risk_score"),
+            f"'\", {_key('risk_score')}'", _or_null(py_float("risk_score")),
             f"', {_key('salt')}'", json_string(lit(salt)),
-            f"', {_key('step_idx')}'", "coalesce(cast(step_idx AS string), 'null')",
-            f"', {_key('timestamp_utc')}'", json_string("timestamp_utc"),
+            f"', {_key('step_idx')}'", _or_null("cast(step_idx AS string)"),
+            f"', {_key('timestamp_utc')}'", _or_null(json_string("timestamp_utc")),
             "'}'",
         ]
     )

@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,72 +113,83 @@ def audit_events(
 
 
 def last_hashes(trail: DataFrame, chain: str = "chain_id", seq: str = "seq") -> DataFrame:
-    """The hash at the end of each chain, from which the next batch goes on."""
-    return trail.groupBy(chain).agg(F.max_by("event_hash", seq).alias("last_hash"))
+    """The end of each chain, from which the next batch goes on: its hash and place (last_seq, last_event_id)."""
+    end = F.max(F.struct(F.col(name(seq)).cast("bigint").alias("seq"), "event_id", "event_hash")).alias("end")
+    ends = trail.where(f"event_hash IS NOT NULL AND {name(seq)} IS NOT NULL").groupBy(name(chain)).agg(end)
+    return ends.select(
+        name(chain), F.col("end.event_hash").alias("last_hash"), F.col("end.seq").alias("last_seq"), F.col("end.event_id").alias("last_event_id")
+    )
 
 
-def chain_links(
+def chain_events(
     events: DataFrame,
     salt: str,
     chain: str = "chain_id",
     seq: str = "seq",
     resume: DataFrame | None = None,
 ) -> DataFrame:
-    """Previous and own hash of each event: (chain, seq, prev_event_hash, event_hash).
+    """The events with ``prev_event_hash`` and ``event_hash``; ``resume``: chain and last_hash to go on from.
+
+    An event's place in its chain is (seq, event_id). Events without a seq have no place, and of
+    events that repeat a place only the first one, by content, has it: the others come out with
+    null hashes and leave the chain as it is. So no event is lost and none is chained twice.
 
-    ``seq`` is unique and rises inside a chain; ``resume``: chain and last_hash to go on from.
     The text to be hashed is made in the JVM. One shuffle brings each chain together and sorts
     it, spilling where it must; a task then walks its rows and keeps only the last hash. A null
     chain id is a chain like any other. A chain is serial by its nature.
     """
     head, tail = hash_parts(salt)
+    kept = events.columns
     prepared = events.selectExpr(
-        name(chain), f"cast({name(seq)} AS bigint) AS seq", f"{head} AS head", f"{tail} AS tail"
+        *[name(c) for c in kept], f"cast({name(seq)} AS bigint) AS _seq", f"{head} AS _head", f"{tail} AS _tail", "false AS _mark"
     )
     if resume is not None:  # stands before a chain's first event
-        prepared = prepared.unionByName(
-            resume.selectExpr(name(chain), "cast(NULL AS bigint) AS seq", "last_hash AS head", "'' AS tail")
-        )
+        ends = resume.selectExpr(name(chain), "last_hash AS _head", "true AS _mark")
+        prepared = prepared.unionByName(ends, allowMissingColumns=True)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, last, started = None, GENESIS, False
+        of, last, place, started = None, GENESIS, None, False
         for b in batches:
-            keep, before, after = [], [], []
-            for key, place, start, end in zip(*(b.column(k).to_pylist() for k in range(4))):
+            before, after = [], []
+            for key, at, own, start, end, mark in zip(*(b.column(c).to_pylist() for c in (chain, "_seq", "event_id", "_head", "_tail", "_mark"))):
                 if key != of or not started:
-                    of, last, started = key, GENESIS, True
-                keep.append(place is not None)
-                if place is None:
+                    of, last, place, started = key, GENESIS, None, True
+                if mark:
                     last = start
-                    continue
-                before.append(last)
-                last = hashlib.sha256(f"{start}{last}{end}".encode()).hexdigest()
-                after.append(last)
-            rows = b.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(before, pa.string()), pa.array(after, pa.string())],
-                names=out,
+                linked = not mark and at is not None and (at, own) != place
+                before.append(last if linked else None)
+                if linked:
+                    place, last = (at, own), hashlib.sha256(f"{start}{last}{end}".encode()).hexdigest()
+                after.append(last if linked else None)
+            rows = pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in kept), pa.array(before, pa.string()), pa.array(after, pa.string())],
+                names=[*kept, "prev_event_hash", "event_hash"],
             )
+            yield rows.filter(pc.invert(b.column("_mark")))
 
-    out = [chain, "seq", "prev_event_hash", "event_hash"]
-    kind = prepared.schema[chain].dataType.simpleString()
-    sorted_ = prepared.repartition(chain).sortWithinPartitions(chain, F.col("seq").asc_nulls_first())
-    return sorted_.mapInArrow(
-        walk, f"{name(chain)} {kind}, seq bigint, prev_event_hash string, event_hash string"
+    hashes = [T.StructField(c, T.StringType()) for c in ("prev_event_hash", "event_hash")]
+    order = [F.col(name(chain)), F.col("_mark").desc(), F.col("_seq").asc_nulls_last(), "event_id", "_head", "_tail"]
+    return (
+        prepared.repartition(F.col(name(chain)))
+        .sortWithinPartitions(*order)
+        .mapInArrow(walk, T.StructType([*events.schema.fields, *hashes]))
     )
 
 
-def chain_events(
+def chain_links(
     events: DataFrame,
     salt: str,
     chain: str = "chain_id",
     seq: str = "seq",
     resume: DataFrame | None = None,
 ) -> DataFrame:
-    """The events with their previous and own hash. Joined on (chain, seq), which is unique."""
-    links = chain_links(events, salt, chain, seq, resume).toDF("_of", "_at", "prev_event_hash", "event_hash")
-    same = F.col(name(chain)).eqNullSafe(F.col("_of")) & (F.col(name(seq)) == F.col("_at"))
-    return events.join(links, same).drop("_of", "_at")
+    """Previous and own hash of each event: (chain, seq, event_id, prev_event_hash, event_hash). See ``chain_events``."""
+    linked = chain_events(events, salt, chain, seq, resume)
+    return linked.selectExpr(name(chain), f"cast({name(seq)} AS bigint) AS seq", "event_id", "prev_event_hash", "event_hash")
+
+
+#: Rows that have no place in their chain (see ``chain_events``): both hashes are null.
+UNLINKED = "prev_event_hash IS NULL AND event_hash IS NULL"
 
 
 def verify_links(
@@ -185,29 +197,31 @@ def verify_links(
 ) -> DataFrame:
     """Mark records whose previous hash is not the hash before them, and unreadable ones.
 
-    The first record of a chain has nothing before it and is exempt.
+    The first record of a chain has nothing before it and is exempt, as are records without a
+    place. A record that lost both hashes is found by the one after it.
     """
     if "readable" not in trail.columns:
         trail = trail.select("*", F.lit(True).alias("readable"))
-    # An unreadable record has no hash of its own and leaves the one before in force.
+    # Unreadable records and those without a place have no hash of their own and leave the one before in force.
+    counts = f"NOT readable OR NOT ({UNLINKED})"
     looked = last_before(
-        trail,
+        trail.withColumn("_counts", F.expr(counts)),
         [chain],
-        [seq],
+        [c for c in (seq, "event_id") if c in trail.columns],
         f"{name(seq)} div {stretch}",
-        {"_any": "true", "_before": "if(readable, coalesce(event_hash, ''), NULL)"},
+        {"_any": "if(_counts, true, NULL)", "_before": "if(readable AND _counts, coalesce(event_hash, ''), NULL)"},
     )
     return looked.selectExpr(
         *[name(c) for c in trail.columns],
-        "NOT readable OR (_any IS NOT NULL AND "
+        "NOT readable OR (_counts AND _any IS NOT NULL AND "
         f"NOT (prev_event_hash <=> coalesce(_before, {lit(GENESIS)}))) AS broken",
     )
 
 
 def verify_hashes(trail: DataFrame, salt: str) -> DataFrame:
-    """Take every hash anew from the stored record and compare."""
+    """Take every hash anew from the stored record and compare; records without a place have none to compare."""
     return trail.select(
-        "*", F.expr(f"coalesce(event_hash <> {event_hash(salt)}, true)").alias("altered")
+        "*", F.expr(f"NOT ({UNLINKED}) AND coalesce(event_hash <> {event_hash(salt)}, true)").alias("altered")
     )
 
 

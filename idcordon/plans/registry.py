@@ -29,7 +29,6 @@ from idcordon.plans import views as v
 from idcordon.plans.guard import card_documents, guard_and_audit, guard_events, stream_guard_events
 from idcordon.sources import records, sinks
 from idcordon.sources.shared import shared_dir, stored
-from idcordon.streaming.audit import stream_chain
 from idcordon.streaming.scan import stream_scan
 from idcordon.streaming.tables import drain, parquet_stream
 from idcordon.streaming.turns import stream_turn_blocks
@@ -690,7 +689,7 @@ def event_hash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("chain_events", f"{o.chained()} SELECT chain_id, seq, prev_event_hash, event_hash FROM links")
 def chain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit_ops.chain_links(audit_records(spark, sf_dir), o.SALT)
+    return audit_ops.chain_links(audit_records(spark, sf_dir), o.SALT).drop("event_id")
 
 
 @register("resume_chain", f"{o.chained()} SELECT chain_id, seq, prev_event_hash, event_hash FROM links")
@@ -700,7 +699,7 @@ def resume_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = events.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
     early, late = events.where(F.col("seq") <= middle), events.where(F.col("seq") > middle)
     first = stored(audit_ops.chain_links(early, o.SALT), "resume")
-    return audit_ops.chain_links(late, o.SALT, resume=audit_ops.last_hashes(first)).unionByName(first)
+    return audit_ops.chain_links(late, o.SALT, resume=audit_ops.last_hashes(first)).unionByName(first).drop("event_id")
 
 
 # A trail with three kinds of harm: a changed link, changed content, a record taken out.
@@ -791,12 +790,6 @@ def turn_block_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, turns, "event_id", stream_turn_blocks).select("event_id", "kind", "blocked", "terminate")
 
 
-@register("stream_audit", f"{o.chained()} SELECT chain_id, seq, prev_event_hash, event_hash FROM links")
-def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = audit_records(spark, sf_dir)
-    return streamed(spark, events, "seq", lambda stream: stream_chain(stream, o.SALT)).select("chain_id", "seq", "prev_event_hash", "event_hash")
-
-
 # --- whole jobs -------------------------------------------------------------------
 
 _EVENT_TEXTS = f"""SELECT CAST(event_id AS STRING) AS text_id, '' AS grp, scan_text AS text FROM (

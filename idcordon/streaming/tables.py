@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -23,10 +26,26 @@ def parquet_stream(
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB; the session's own setting comes back after."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
 def drain(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> str:
     """Write all that has arrived to a Parquet table and stop; gives the table's path.
 
-    Started again with the same paths it goes on where it stopped and writes nothing twice.
+    Started again with the same paths it goes on where it stopped and writes nothing twice. Streams
+    that hand rows on in order need ``rocks`` around it.
     """
     spark = stream.sparkSession
     path = path or shared_dir(spark, "stream-out")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from idcordon.config import BLOCK_SECONDS
+from idcordon.streaming.ordered import in_order
 
 _OUT = "conversation_id string, event_id bigint, kind string, blocked boolean, terminate boolean"
 
@@ -80,3 +81,37 @@ def stream_turn_blocks(
     if not carry:
         return flagged
     return flagged.withColumn("record", F.from_json("record", kept)).select(*flagged.columns[:-1], "record.*")
+
+
+def ordered_turn_blocks(events: DataFrame, lateness: str, seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """Blocked and terminate for each event of a stream whose events arrive in any order within ``lateness``.
+
+    As ``turn_blocks``, whatever the order of arrival; an answer waits until the watermark has passed its event.
+    ``events`` as for ``stream_turn_blocks``. State of a conversation is the time of its last denial, which a timer
+    removes once no event can be blocked by it, and its events within the lateness. An event
+    that comes later than that is answered by the flag as it stands and doesn't change it.
+    """
+    life = seconds * 1_000_000
+
+    def held(since: int | None, e: dict) -> bool:
+        return e["kind"] != "prompt" and since is not None and 0 <= e["at"] - since < life
+
+    def answer(since: int | None, e: dict) -> dict:
+        return {"blocked": held(since, e), "terminate": held(since, e) and e["kind"] == "post"}
+
+    def step(since: int | None, e: dict) -> tuple[int | None, dict]:
+        given = answer(since, e)
+        if e["kind"] == "prompt":
+            return (e["at"] if e["denied"] else None), given
+        return (None if e["kind"] == "post" else since), given
+
+    narrow = events.select(
+        "conversation_id", "ts", F.col("event_id").cast("bigint").alias("event_id"), "kind",
+        F.coalesce("denied", F.lit(False)).alias("denied"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+    )
+    place = "concat('[', at, ',', to_json(array_compact(array(event_id))), ',0]')"
+    flagged = in_order(narrow, "conversation_id", "ts", place, ["conversation_id", "event_id", "kind", "denied", "at"], lateness, step, answer, idle=seconds * 1000)
+    return flagged.select(
+        F.from_json("record", "conversation_id string, event_id bigint, kind string").alias("r"),
+        F.from_json("given", "blocked boolean, terminate boolean").alias("g"),
+    ).select("r.*", "g.*")

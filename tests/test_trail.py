@@ -17,7 +17,6 @@ from idcordon.operators.controls import (
 from idcordon.operators.turns import turn_blocks
 from idcordon.sources.shared import shared_dir, stored
 from idcordon.sources.sinks import append_audit, route_regulated
-from idcordon.streaming.audit import stream_chain
 from idcordon.streaming.tables import drain, parquet_stream
 from idcordon.streaming.turns import stream_turn_blocks
 from tests.plain import record_hash
@@ -176,18 +175,6 @@ def test_turn_blocks_as_a_stream(spark):
     assert {r.event_id: (r.blocked, r.terminate) for r in got} == simulated(rows)
 
 
-def test_audit_as_a_stream(spark):
-    rows = trail_rows(200)
-    source, out, checkpoint = (shared_dir(spark, p) for p in ("ain", "aout", "acp"))
-    schema = spark.createDataFrame([], SCHEMA).schema
-    for a, b in ((0, 90), (90, 200)):
-        spark.createDataFrame(rows[a:b], SCHEMA).coalesce(1).write.mode("append").parquet(source)
-        drain(stream_chain(parquet_stream(spark, source, schema), SALT), out, checkpoint)
-    back = spark.read.parquet(out)
-    assert as_links(back) == expected_links(rows)
-    assert verify_hashes(back, SALT).where("altered").count() == 0
-
-
 def test_controls(spark):
     df = spark.createDataFrame(
         [(["Aadhaar (XXXX)", "Card CVV"],), (["Prompt Injection seen", "PAN (AB)"],), (["SECURITY of a COMPANY"],), ([],)],
