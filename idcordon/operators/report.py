@@ -121,6 +121,64 @@ def detections_rollup(
     )
 
 
+#: Attributes of a kind in the order of a cube's columns, and their names there.
+CUBE = {"key": "entity_type", "category": "category", "severity": "severity"}
+
+
+def detections_cube(
+    df: DataFrame, groups: list[str] = (), spans: str = "spans", options: ScanOptions = ScanOptions()
+) -> DataFrame:
+    """Spans and texts for every set of the attributes in ``CUBE`` and of ``groups``, as GROUP BY CUBE has them.
+
+    ``grouping_id`` has a bit for each column, the first one highest, set where the column is summed over. Each text
+    counts its own spans by class of every set first, so texts are told apart without a distinct
+    count, and one shuffle brings partial sums together.
+    """
+    columns, s = [*CUBE.values(), *groups], name(spans)
+    bits = {c: 1 << (len(columns) - 1 - i) for i, c in enumerate(columns)}
+    attributes = list(CUBE)
+    classes: dict[tuple, int] = {}  # the bits of a set and the values of its attributes
+    of_kind = [
+        [classes.setdefault(_class(e, kept, bits), len(classes)) for kept in _subsets(attributes)] for e in options.catalog
+    ]
+    ids = f"array({', '.join(f'array({", ".join(map(str, x))})' for x in of_kind)})" if of_kind else "cast(array() AS array<array<int>>)"
+    each = (
+        f"transform(array_distinct(flatten(transform({s}, q -> get({ids}, q.ord)))), k -> named_struct("
+        f"'cls', k, 'n', size(filter({s}, q -> array_contains(get({ids}, q.ord), k)))))"
+    )
+    sides = [(sum(bits[g] for g in groups if g not in kept), kept) for kept in _subsets(list(groups))]
+    sets = ", ".join(
+        f"named_struct('bits', {over}, {', '.join(f'{lit(g)}, {name(g) if g in kept else "NULL"}' for g in groups)})"
+        if groups else f"named_struct('bits', {over})"
+        for over, kept in sides
+    )
+    counted = df.selectExpr(*[name(g) for g in groups], f"explode({each}) AS kind")
+    spread = counted.selectExpr("kind", f"explode(array({sets})) AS side").selectExpr("kind.cls AS _class", "cast(kind.n AS bigint) AS n", "side.*")
+    summed = spread.groupBy("_class", "bits", *groups).agg(F.sum("n").alias("n_spans"), F.count("*").alias("n_texts"))
+    found = list(classes)
+    return summed.selectExpr(
+        *[f"get({array(c[1].get(a) for c in found)}, _class) AS {out}" for a, out in CUBE.items()],
+        *[name(g) for g in groups],
+        f"cast(get({array(c[0] for c in found)}, _class) + bits AS bigint) AS grouping_id", "n_spans", "n_texts",
+    )
+
+
+def _subsets(of: list[str]) -> list[tuple[str, ...]]:
+    return [tuple(x for i, x in enumerate(of) if n >> i & 1) for n in range(1 << len(of))]
+
+
+class _Values(dict):
+    """Attributes that take part in a set; can be a key."""
+
+    def __hash__(self) -> int:
+        return hash(tuple(sorted(self.items())))
+
+
+def _class(entity, kept: tuple[str, ...], bits: dict[str, int]) -> tuple[int, _Values]:
+    over = sum(bits[out] for a, out in CUBE.items() if a not in kept)
+    return over, _Values({a: getattr(entity, a) for a in kept})
+
+
 def framework_rollup(
     df: DataFrame, groups: list[str] = (), spans: str = "spans", options: ScanOptions = ScanOptions()
 ) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from idcordon.functions.sql import let, name
+from idcordon.sources.shared import stored
 
 # Keys of an event in JSON.
 _EVENT = "struct<name:string,args:string>"
@@ -119,10 +123,14 @@ def keep_last_of_repeated_keys(spark: SparkSession) -> None:
 
 
 def parse_events(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Read JSON events; absent keys get defaults, unreadable ones are all defaults.
+    """Read JSON events, text or bytes; absent keys get defaults, unreadable ones are all defaults.
+
+    Bytes that are no UTF-8 become U+FFFD.
 
     Of a key that is repeated in one object the last one counts. Adds ``event`` (a variant, null when unreadable), ``event_keys`` and the fields.
     """
+    kind = df.schema[payload].dataType.simpleString()
+    df = df.withColumn(payload, F.expr(decoded(payload, kind)))
     p = name(payload)
     keep_last_of_repeated_keys(df.sparkSession)
     return df.select("*", F.expr(f"try_parse_json({p})").alias("event")).selectExpr(
@@ -151,22 +159,39 @@ def parse_transcript_lines(df: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
+def decoded(column: str, kind: str) -> str:
+    """Text of a column; bytes that are no UTF-8 become U+FFFD, one for each longest broken sequence."""
+    return f"make_valid_utf8({f'cast({name(column)} AS string)' if kind == 'binary' else name(column)})"
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with an order inside each file.
+    """Lines of text files with their number in the file, from 0: file, line_no, line.
 
-    A file is read in blocks by many tasks. Lines of one block are numbered upwards by
-    their task, so (block start, number) orders the lines of a file, whatever its size.
+    A file is read in blocks by many tasks. A task numbers the lines of its block as they come; the lines of the blocks before
+    it, summed by file, are added. Only these sums, a row for each block, are joined. Bytes that are no UTF-8 are left out of a line.
     """
-    return (
-        spark.read.text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_line"),
-            F.col("value").alias("line"),
-        )
-        .select("file", F.struct("_block", "_line").alias("line_no"), "line")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, n = None, 0
+        for b in batches:
+            files, starts, lines = (b.column(i).to_pylist() for i in range(3))
+            places = []
+            for of in zip(files, starts):
+                block, n = of, (n + 1 if of == block else 0)
+                places.append(n)
+            texts = [None if x is None else x.decode("utf-8", "ignore") for x in lines]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(places, pa.int64()), pa.array(texts, pa.string())], names=["file", "block", "n", "line"]
+            )
+
+    read = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line")
     )
+    numbered = stored(read.mapInArrow(count, "file string, block bigint, n bigint, line string"), "lines")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = numbered.groupBy("file", "block").agg(F.count("*").alias("lines"))
+    starts = sizes.select("file", "block", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("start"))
+    return numbered.join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("n")).alias("line_no"), "line")
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Tags of regulated records and the type that is always routed.
@@ -32,3 +32,20 @@ def route_regulated(
 ) -> DataFrame:
     """Records that go to the regulated store."""
     return df.where(is_regulated(frameworks, kind))
+
+
+def write_routed(
+    df: DataFrame, path: str, frameworks: str = "regulatory_frameworks", kind: str | None = None, files: int = 8
+) -> None:
+    """Write records to folders ``store=regulated`` and ``store=general`` of one table, in one pass over them.
+
+    Rows are dealt to ``files`` tasks a store by a hash of all their columns that can be hashed. A store that is read is picked by its folder.
+    """
+    store = F.when(is_regulated(frameworks, kind), "regulated").otherwise("general")
+    simple = [c for c, t in df.dtypes if not t.startswith(("map", "variant"))]
+    part = F.pmod(F.xxhash64(*simple), F.lit(files))
+    df.withColumn("store", store).repartition("store", part).write.mode("overwrite").partitionBy("store").parquet(path)
+
+
+def read_routed(spark: SparkSession, path: str, store: str = "regulated") -> DataFrame:
+    return spark.read.parquet(path).where(F.col("store") == store).drop("store")
