@@ -52,10 +52,22 @@ def _at_least(confidence: str, unknown: str, threshold: str) -> str:
     return confidence_at_least(level, lit(threshold))
 
 
+# Keys of each part of an answer; a part none of whose keys is there counts as empty.
+_STATE_KEYS = ("matchState", "match_state")
+_KEYS = {
+    "piAndJailbreakFilterResult": (*_STATE_KEYS, "confidenceLevel", "confidence_level", "score"),
+    "raiFilterResult": (*_STATE_KEYS, "raiFilterTypeResults", "rai_filter_type_results"),
+    "sdpFilterResult": ("inspectResult", "inspect_result"),
+    "maliciousUriFilterResult": (*_STATE_KEYS, "matchedUris", "matched_uris"),
+    "csamFilterFilterResult": _STATE_KEYS,
+    "inspectResult": (*_STATE_KEYS, "findings"),
+}
+
+
 def _either(wrapper: str, camel: str, snake: str) -> str:
     """The camel-case result unless it is absent or empty."""
     c = f"{wrapper}.{camel}"
-    return f"if(coalesce(to_json({c}), '{{}}') <> '{{}}', {c}, {wrapper}.{snake})"
+    return f"if({' OR '.join(f'{c}.{k} IS NOT NULL' for k in _KEYS[camel])}, {c}, {wrapper}.{snake})"
 
 
 def with_rules(df: DataFrame, options: PolicyOptions = PolicyOptions()) -> DataFrame:

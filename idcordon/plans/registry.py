@@ -41,7 +41,7 @@ ORACLES: dict[str, str] = {}
 
 def register(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(query: Query) -> Query:
-        QUERIES[key] = query
+        QUERIES[key] = lambda spark, sf_dir: query(records.prepare(spark), sf_dir)
         if sql is not None:
             ORACLES[key] = sql
         return query

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from idcordon.functions.sql import let, name
+from idcordon.functions.sql import name, once
 from idcordon.sources.shared import stored
 
 # Keys of an event in JSON.
@@ -48,60 +48,6 @@ _RESULT = (
 )
 RESPONSE_SCHEMA = f"sanitizationResult {_RESULT}, sanitization_result {_RESULT}"
 
-# Parts of an answer that must be objects where they are present, by key in either spelling; below
-# them: parts of their own, "each" for a map of objects, "list" for a list of objects, "items" for any list.
-_SHAPE = {
-    ("sanitizationResult", "sanitization_result"): {
-        ("filterResults", "filter_results"): {
-            ("pi_and_jailbreak",): {
-                ("piAndJailbreakFilterResult", "pi_and_jailbreak_filter_result"): {("score",): "number"}
-            },
-            ("rai",): {
-                ("raiFilterResult", "rai_filter_result"): {
-                    ("raiFilterTypeResults", "rai_filter_type_results"): "each"
-                }
-            },
-            ("sdp",): {
-                ("sdpFilterResult", "sdp_filter_result"): {
-                    ("inspectResult", "inspect_result"): {("findings",): "list"}
-                }
-            },
-            ("malicious_uris",): {
-                ("maliciousUriFilterResult", "malicious_uri_filter_result"): {
-                    ("matchedUris", "matched_uris"): "items"
-                }
-            },
-            ("csam",): {("csamFilterFilterResult", "csam_filter_filter_result"): {}},
-        }
-    }
-}
-
-
-def _misshapen(value: str, shape: dict | str, depth: int = 0) -> str:
-    """Whether a JSON value (a variant, not null) is not what a filter's answer has there."""
-
-    def as_(kind: str, of: str = value) -> str:
-        return f"try_variant_get({of}, '$', '{kind}')"
-
-    if shape == "number":
-        return f"{as_('double')} IS NULL"
-    if shape == "items":
-        return f"{as_('array<variant>')} IS NULL"
-    no_object = "try_variant_get(z, '$', 'map<string,variant>') IS NULL"
-    if shape == "list":
-        return f"coalesce(exists({as_('array<variant>')}, z -> {no_object}), true)"
-    if shape == "each":
-        return f"coalesce(exists(map_values({as_('map<string,variant>')}), z -> {no_object}), true)"
-    tests = [f"{as_('map<string,variant>')} IS NULL"]
-    for keys, below in shape.items():
-        for key in keys:
-            var = f"p{depth}"
-            part = f"try_variant_get({value}, '$.{key}', 'variant')"
-            inner = f"{var} IS NOT NULL AND NOT is_variant_null({var}) AND ({_misshapen(var, below, depth + 1)})"
-            tests.append(let(part, var, inner))
-    return " OR ".join(tests)
-
-
 AUDIT_SCHEMA = (
     "event_id string, timestamp_utc string, timestamp_ist string, conversation_id string, "
     "step_idx bigint, hook_name string, event_type string, decision string, reason string, "
@@ -114,12 +60,22 @@ AUDIT_SCHEMA = (
 )
 
 
-def keep_last_of_repeated_keys(spark: SparkSession) -> None:
-    """JSON with a key twice in one object is read, and the last one counts, as in most readers.
+_REPEATED = "spark.sql.variant.allowDuplicateKeys"
+
 
-    Spark's parser would call such JSON unreadable unless this is set.
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set a session up for reading events and transcripts; call it once for each session.
+
+    JSON with a key twice in one object is then read, and the last one counts, as in most readers; Spark's
+    parser calls such JSON unreadable otherwise. The setting must stand when a plan runs.
     """
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set(_REPEATED, "true")
+    return spark
+
+
+def _prepared(spark: SparkSession) -> None:
+    if spark.conf.get(_REPEATED, "false") != "true":
+        raise ValueError("call idcordon.sources.records.prepare(spark) first")
 
 
 def parse_events(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -132,7 +88,7 @@ def parse_events(df: DataFrame, payload: str = "payload") -> DataFrame:
     kind = df.schema[payload].dataType.simpleString()
     df = df.withColumn(payload, F.expr(decoded(payload, kind)))
     p = name(payload)
-    keep_last_of_repeated_keys(df.sparkSession)
+    _prepared(df.sparkSession)
     return df.select("*", F.expr(f"try_parse_json({p})").alias("event")).selectExpr(
         "*",
         f"CASE WHEN event IS NOT NULL THEN json_object_keys({p}) END AS event_keys",
@@ -146,7 +102,7 @@ def parse_events(df: DataFrame, payload: str = "payload") -> DataFrame:
 def parse_transcript_lines(df: DataFrame, line: str = "line") -> DataFrame:
     """Read transcript lines; blank and malformed ones are left out."""
     v = f"try_parse_json({name(line)})"
-    keep_last_of_repeated_keys(df.sparkSession)
+    _prepared(df.sparkSession)
     return (
         df.select("*", F.expr(v).alias("_step"))
         .where("_step IS NOT NULL AND schema_of_variant(_step) LIKE 'OBJECT%'")
@@ -205,30 +161,44 @@ def parse_responses(df: DataFrame, response: str = "response") -> DataFrame:
     Adds ``filter_match_state``, ``invocation_result`` and ``filters``. Null states mean an
     answer that can't be relied on: no JSON, a part of another shape than
     the filter gives (a list or text instead of an object), a score that is no number. Absent keys, null and empty objects stand for the defaults.
+
+    An answer is parsed once, by a schema that holds both spellings; the parser marks what doesn't have that shape. It
+    stands inside an object with a second key, so that text behind an answer is seen too.
     """
-    parsed = f"from_json({name(response)}, '{RESPONSE_SCHEMA}')"
-    keep_last_of_repeated_keys(df.sparkSession)
+    wrapped = f"concat('{{\"answer\":', {name(response)}, ',\"end\":1}}')"
+    strict = "map('columnNameOfCorruptRecord', 'bad', 'allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
+    parsed = f"from_json({wrapped}, 'answer struct<{RESPONSE_SCHEMA.replace(' struct', ':struct')}>, `end` int, bad string', {strict})"
 
     def filled(s: str) -> str:
-        return (
-            f"coalesce({s}.filterMatchState, {s}.filter_match_state, {s}.invocationResult, "
-            f"{s}.invocation_result, to_json({s}.filterResults), to_json({s}.filter_results)) "
-            "IS NOT NULL"
-        )
+        return " OR ".join(f"{s}.{f} IS NOT NULL" for f in ("filterMatchState", "filter_match_state", "invocationResult", "invocation_result", "filterResults", "filter_results"))
 
     def chosen(camel: str, snake: str) -> str:
         return f"coalesce(nullif({camel}, ''), nullif({snake}, ''))"
 
-    usable = let(
-        f"try_parse_json({name(response)})", "v",
-        f"v IS NOT NULL AND NOT is_variant_null(v) AND NOT ({_misshapen('v', _SHAPE)})",
-    )
+    def odd(s: str) -> list[str]:
+        """What the parser lets pass in the filters of a result: nulls among objects, and scores that are no numbers."""
+        tests = []
+        for f in (f"{s}.filterResults", f"{s}.filter_results"):
+            for part in ("piAndJailbreakFilterResult", "pi_and_jailbreak_filter_result"):
+                score = f"{f}.pi_and_jailbreak.{part}.score"
+                tests.append(f"({score} IS NOT NULL AND try_cast({score} AS double) IS NULL)")
+            for part in ("raiFilterResult", "rai_filter_result"):
+                for types in ("raiFilterTypeResults", "rai_filter_type_results"):
+                    tests.append(f"coalesce(exists(map_values({f}.rai.{part}.{types}), z -> z IS NULL), false)")
+            for part in ("sdpFilterResult", "sdp_filter_result"):
+                for inspect in ("inspectResult", "inspect_result"):
+                    tests.append(f"coalesce(exists({f}.sdp.{part}.{inspect}.findings, z -> z IS NULL), false)")
+        return tests
+
+    whole = f"coalesce(json_object_keys({wrapped}) = array('answer', 'end'), false)"
+    doubts = " OR ".join([*odd("_answer.sanitizationResult"), *odd("_answer.sanitization_result")])
     return (
-        df.selectExpr("*", f"{parsed} AS _answer", f"coalesce({usable}, false) AS _readable")
+        df.selectExpr("*", once(f"if({whole}, {parsed}, NULL)", "_parsed"))
+        .selectExpr(*[name(c) for c in df.columns], "_parsed.answer AS _answer", "_parsed.bad IS NULL AND _parsed.answer IS NOT NULL AS _shaped")
         .selectExpr(
-            "*",
-            f"if({filled('_answer.sanitizationResult')}, _answer.sanitizationResult, "
-            "_answer.sanitization_result) AS _result",
+            *[name(c) for c in df.columns],
+            f"(_shaped AND NOT ({doubts})) AS _readable",
+            f"if({filled('_answer.sanitizationResult')}, _answer.sanitizationResult, _answer.sanitization_result) AS _result",
         )
         .selectExpr(
             *[name(c) for c in df.columns],
