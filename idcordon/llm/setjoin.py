@@ -350,7 +350,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, options: JaccardOptions) -> DataF
 
 
 def _covered(sets: DataFrame) -> DataFrame:
-    """(set_id, covered): how many shingles of a set another of these sets has too."""
+    """(set_id, covered): how many shingles of a set another of these sets has too.
+
+    Shingles are dealt and sorted once; a task streams over the runs of equal ones and counts
+    the members of runs of two or more for each set, so nothing is joined.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -358,9 +362,34 @@ def _covered(sets: DataFrame) -> DataFrame:
                 value = np.frombuffer(data.as_buffer(), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), who)), pa.array(value)], names=["set_id", "shingle"])
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(who: np.ndarray) -> pa.RecordBatch:
+            own, n = np.unique(who, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], names=["set_id", "covered"])
+
+        last, common = None, False  # the shingle that the next batch may go on with: (shingle, its only set so far)
+        for b in batches:
+            who, value = (np.asarray(b[c].to_numpy(zero_copy_only=False)) for c in ("set_id", "shingle"))
+            if not len(value):
+                continue
+            if last is not None and not common:  # one set that waits for a second one
+                who, value = np.r_[last[1], who], np.r_[last[0], value]
+            goes_on = last is not None and common and value[0] == last[0]
+            new = np.r_[True, value[1:] != value[:-1]]
+            run_of = np.cumsum(new) - 1
+            size = np.bincount(run_of)
+            several = size > 1
+            if goes_on:
+                several[0] = True
+            keep = several[run_of]
+            common = bool(several[-1])
+            last = (value[-1], who[-1])
+            if keep.any():
+                yield counted(who[keep])
+
     flat = sets.mapInArrow(run, "set_id long, shingle long")
-    common = flat.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").select("shingle")
-    return flat.join(common, "shingle").groupBy("set_id").agg(F.count("*").cast("int").alias("covered"))
+    dealt = flat.repartition("shingle").sortWithinPartitions("shingle")
+    return dealt.mapInArrow(scan, "set_id long, covered long").groupBy("set_id").agg(F.sum("covered").cast("int").alias("covered"))
 
 
 def _possible(small: str, large: str, options: JaccardOptions) -> Column:
