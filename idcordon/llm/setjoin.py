@@ -439,7 +439,7 @@ def set_links(docs: DataFrame, signed: DataFrame, options: JaccardOptions) -> Da
 
     # Every class with the best covered one of its list, the parts of a long list with each other's best.
     me = F.struct(((F.col("shared") + F.col("rest")) / F.col("n")).alias("share"), "set_id", "n", "shared", "rest")
-    heads = full.groupBy("key", "part").agg(F.max(me).alias("head"))
+    heads = stored(full.groupBy("key", "part").agg(F.max(me).alias("head")), "heads")  # read four times
     tops = heads.where("part >= 0").groupBy("key").agg(F.max("head").alias("top")).join(heads.where("part >= 0"), "key")
     ranked = full.join(heads, ["key", "part"]).select(F.struct("set_id", "n", "shared", "rest").alias("x"), F.col("head").alias("y"))
     stars = (
