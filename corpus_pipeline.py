@@ -27,9 +27,13 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return setjoin.one_of_each(docs)
 
 
+#: Bytes of a repeat that the pipeline cuts: 99 of 100 passages of 51 words are longer.
+REPEAT_BYTES = 250
+
+
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long repeats are cut out of the texts; documents of which nothing is left go."""
-    cut = rindex.without_repeats(docs)
+    cut = rindex.without_repeats(docs, rindex.RepeatOptions(length=REPEAT_BYTES, anchor=REPEAT_BYTES // 2))
     rest = cut.where((F.col("n_removed") == 0) | (F.col("text") != ""))
     kind = dict(docs.dtypes)["n_chars"]
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
