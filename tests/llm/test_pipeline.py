@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def cut_by_force(texts, length=400):
+def cut_by_force(texts, length=corpus_pipeline.REPEAT_BYTES):
     count = Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
     out = []
     for b in texts:
