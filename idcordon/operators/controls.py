@@ -9,31 +9,31 @@ from idcordon.config import ScanOptions
 from idcordon.functions.sql import lit
 from idcordon.operators.report import detections_rollup
 
-# Control ids, titles, references, requirements and targets.
+# Control ids, titles, references and targets. The sentence of each is our own.
 CONTROLS = {
     "RBI": {
         "RBI-ITG-SEC-01": (
             "Customer Data Protection & Privacy",
             "RBI Master Direction on IT Governance 2023, Chapter III, Para 11",
-            "Prevention of unauthorized disclosure of customer PII and sensitive financial data.",
+            "Personal and financial data of customers must not reach anyone who has no right to it.",
             ("AADHAAR", "PAN", "BANK_ACCOUNT_IN", "CREDIT_DEBIT_CARD", "CARD_CVV", "UPI_VPA", "PHONE_IN"),
         ),
         "RBI-ITG-SEC-02": (
             "Adversarial Threat & AI Safety Defense",
             "RBI Master Direction on IT Governance 2023, Chapter III, Para 14",
-            "Automated security controls against prompt injection, jailbreak attacks, and malicious payloads.",
+            "Attacks on a model by injected or harmful input have to be found and stopped by machine.",
             ("PROMPT_INJECTION", "MALICIOUS_URIS", "CSAM", "TOXICITY"),
         ),
         "RBI-DPSC-03": (
             "Card Data Security & Non-Storage",
             "RBI Digital Payment Security Controls 2021, Section 4",
-            "Strict prohibition of raw PAN/CVV transmission and prompt exposure.",
+            "Card numbers and their security codes may not be sent or shown in the clear.",
             ("CREDIT_DEBIT_CARD", "CARD_CVV"),
         ),
         "RBI-ITG-AUD-04": (
             "Tamper-Resistant Audit Trail",
             "RBI Master Direction on IT Governance 2023, Chapter V, Para 22",
-            "7-year cryptographic log retention for automated system interactions.",
+            "Logs of automated systems are kept for seven years in a form that shows changes.",
             ("AUDIT_TRAIL",),
         ),
     },
@@ -41,25 +41,25 @@ CONTROLS = {
         "SEBI-CSCRF-AI-01": (
             "AI/ML Input Validation & Algorithmic Guardrails",
             "SEBI CSCRF 2024, Part III, Rule 6.2",
-            "Mandatory real-time input verification to prevent algorithmic exploitation, prompt injection, and unauthorized data leakage.",
+            "What goes into a model is checked at once, so that it can't be misused and no data leaks.",
             ("PROMPT_INJECTION", "JAILBREAK", "RESPONSIBLE_AI"),
         ),
         "SEBI-CSCRF-DP-02": (
             "Client Financial Data Protection",
             "SEBI CSCRF 2024, Part II, Rule 4.1",
-            "Protection of client PAN, Demat, Bank Account, and GSTIN identifiers from unauthorized AI prompt processing.",
+            "Clients' tax, depository and account numbers stay out of prompts that aren't cleared for them.",
             ("PAN", "GSTIN", "BANK_ACCOUNT_IN", "CIN_IN", "PASSPORT_IN"),
         ),
         "SEBI-CSCRF-NET-03": (
             "Malicious Network & URI Defense",
             "SEBI CSCRF 2024, Part II, Rule 5.3",
-            "Interception of unapproved external links, phishing vectors, and command-and-control URIs.",
+            "Links to places that aren't approved, or that serve fraud or remote control, are held back.",
             ("MALICIOUS_URIS",),
         ),
         "SEBI-CSCRF-LOG-04": (
             "Cryptographic Audit Preservation",
             "SEBI CSCRF 2024, Part IV, Rule 8.4",
-            "Immutable SHA-256 hashed audit preservation of all AI policy evaluations and security blocks.",
+            "Every judgement and every block is stored with a hash and can't be rewritten unseen.",
             ("AUDIT_PRESERVATION",),
         ),
     },
