@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from idcordon.llm import chat, ctw, decontam, html, mix, quality, queries, rindex, setjoin, syncmers, toxicity
@@ -411,7 +412,66 @@ def test_texts_of_few_and_of_more_words_are_compared(spark):
     assert got[3].near_edited > 0.3  # half of 40 words is left
     assert got[1].near_next > 0.7  # both of few words
     assert got[2].fingerprint == "" and got[2].near_next == 0.0
-    assert "-" in got[4].fingerprint and "-" not in got[5].fingerprint
+    assert all(re.fullmatch(r"\d+:[0-9a-f]{8}( \d+:[0-9a-f]{8})*", got[i].fingerprint) for i in (0, 1, 3, 4, 5))  # one kind of symbol
+
+
+def anchors_by_force(text, k=5, s=2):
+    """First place of each closed syncmer's hash."""
+    def chain(values, seed=42):
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), seed=seed)
+        return seed
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    symbols = re.findall("[\u4e00-\u9fff]|[^ \t-\r\u4e00-\u9fff]+", text)
+    h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in symbols]
+    out = {}
+    if h and len(h) < k:
+        out[chain(h) & 0x7FFFFFFF] = 0
+    g = [chain(h[i : i + s]) for i in range(len(h) - s + 1)]
+    for i in range(len(h) - k + 1):
+        inner = [signed(x) for x in g[i : i + k - s + 1]]
+        if min(inner) in (inner[0], inner[-1]):
+            out.setdefault(chain([g[i], g[i + 2], g[i + 3]]) & 0x7FFFFFFF, i)
+    return out
+
+
+def likeness_by_force(a, b, drift=64):
+    if not a and not b:
+        return 1.0
+    moved = [b[x] - a[x] for x in a if x in b]
+    best = max([0, *(max(Counter((m + shift) // drift for m in moved).values(), default=0) for shift in (0, drift // 2))])
+    return best / (len(a) + len(b) - len(moved))
+
+
+def test_fingerprints_and_likeness_by_force(spark, odd):
+    rng = random.Random(12)
+    base = [prose(rng, 20) for _ in range(30)]
+    mixed = rng.sample(base, len(base))
+    shared = prose(rng, 60)
+    alone = "".join(chr(0x4E00 + rng.randrange(500)) for _ in range(90))
+    texts = [" ".join(base), " ".join(mixed), " ".join(base[:15] + [prose(rng, 100)] + base[15:]),
+             f"{prose(rng, 9000)} {shared} {prose(rng, 2000)}", f"{prose(rng, 300)} {shared} {prose(rng, 11000)}", alone, "a b " + alone[5:], "one two", ""]
+    rows = [(i, t, *(None,) * 3) for i, t in enumerate(texts)]
+    some = [(r.doc_id, r.text) for r in odd.where("doc_id >= 5 AND doc_id <> 9").collect()]
+    rows = [(1000 + i, t) for i, t, *_ in rows] + [(i, t) for i, t in some]
+    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), syncmers.SyncmerOptions(rows=2)).collect()}
+    line = sorted(rows, reverse=True)
+    for k, (i, t) in enumerate(line):
+        following = line[(k + 1) % len(line)][1]
+        half = len(t) // 2
+        own, edited, other = (anchors_by_force(x) for x in (t, t[: len(t) - half] + following[:half], following))
+        for place, want in ((got[i].fingerprint, own), (got[i].edited_fingerprint, edited)):
+            assert place == " ".join(f"{p}:{h:08x}" for h, p in sorted(want.items(), key=lambda x: x[::-1])), i
+        assert got[i].near_edited == pytest.approx(likeness_by_force(own, edited), abs=1e-12)
+        assert got[i].near_next == pytest.approx(likeness_by_force(own, other), abs=1e-12)
+    assert got[1001].near_next < 0.3  # the same passages in another order
+    assert got[1002].near_next < 0.3
+    assert 0 < got[1004].near_next < 0.05  # 60 words of 11,000, far from each other
+    assert got[1006].near_next > 0.8  # a script without spaces
+    assert likeness_by_force(anchors_by_force(texts[2]), anchors_by_force(texts[0])) > 0.35  # a passage put in between
 
 
 def test_fingerprints_stay_in_the_jvm(spark, odd):
