@@ -2,11 +2,14 @@
 
 The markup is read into a tree. Every paragraph gives points for its length and its commas to
 its parent, half of them to its grandparent and less to those above; what stands in links
-counts against a container. The container with most points, the article or main element around
-it if there is one, and those of its neighbours that have enough points of their own are the
-article. Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and
-reader comments are left out by their element, role, class or id, unless they hold the page's
-article itself.
+counts against a container. The container with most points and those of its neighbours that have enough points of
+their own are the article. An article or main element has a lead of points; it takes the place of the best container
+inside it if that has a good part of its text.
+
+Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and
+reader comments are left out by their element, role, or a class or id that says nothing else (``ad-box``,
+``comments``), unless they hold the page's article itself or all of its text. A name in which such a word is one among others
+(``side-effects``, ``menu-of-the-day``) takes points away, and the element goes only if most of its text are links.
 
 Defined results: null, empty or blank html gives an empty text. Broken markup is read as far as
 it can be: open elements end with the page, stray end tags don't count, a comment or script
@@ -48,6 +51,12 @@ _LEFT_WORDS = frozenset(
     "banner popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "pagination pager widget widgets toolbar masthead topbar alert skip hidden outbrain taboola".split()
 )
+# Words of a name that only say where or how big a thing is, or of what page it is.
+_PLAIN_WORDS = frozenset(
+    "box container wrapper wrap holder block section area unit slot list item items link links button buttons bar left right top bottom inner "
+    "outer center row col column grid panel pane group text title content post posts article entry story page site main blog primary secondary "
+    "global mobile desktop form header".split()
+)
 _HEADER_WORDS = frozenset(["header", "head"])
 _OWN_WORDS = frozenset("article entry post story content title".split())
 
@@ -58,11 +67,11 @@ _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "words", "role", "gone", "holds", "points", "text", "linked")
+    __slots__ = ("tag", "parent", "children", "words", "names", "role", "gone", "holds", "points", "text", "linked")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
         self.tag, self.parent, self.children = tag, parent, []
-        self.words, self.role, self.gone = frozenset(), "", False
+        self.words, self.names, self.role, self.gone = frozenset(), (), "", False
         self.holds, self.points, self.text, self.linked = False, 0.0, 0, 0
         if attributes and not attributes.isspace():
             self._read(attributes)
@@ -80,7 +89,9 @@ class Node:
             else:
                 self.gone |= name == "hidden" or value.lower() == "true"
         if names:
-            self.words = frozenset(w.lower() for w in _WORD.findall(" ".join(names)))
+            each = (frozenset(w.lower() for w in _WORD.findall(n) if not w.isdigit()) for n in " ".join(names).split())
+            self.names = tuple(n for n in each if n)
+            self.words = frozenset().union(*self.names)
 
 
 def parse(html: str) -> Node:
@@ -145,12 +156,19 @@ def _own(node: Node) -> bool:
     return node.tag in ("article", "main") or node.role == "main" or "body" in node.words and "article" in node.words
 
 
+def _says_only(node: Node, words: frozenset[str]) -> bool:
+    """Whether a class or id of the element holds some of the words and besides only plain ones."""
+    return any(n & words and not n - words - _PLAIN_WORDS for n in node.names)
+
+
 def _marked(node: Node) -> bool:
     """Left out by its names, whatever it holds."""
-    return bool(node.words & _LEFT_WORDS) or node.role in _LEFT_ROLES
+    return _says_only(node, _LEFT_WORDS) or node.role in _LEFT_ROLES
 
 
-def _leave_out(root: Node) -> None:
+def _leave_out(root: Node) -> list[Node]:
+    """Takes out what isn't of the article; returns what went by its names."""
+    named: list[Node] = []
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -172,12 +190,14 @@ def _leave_out(root: Node) -> None:
             node.gone = True
         elif _marked(node):
             node.gone = not node.holds
-        elif node.tag == "header" or node.words & _HEADER_WORDS and not node.words & _OWN_WORDS and node.tag not in _HEADINGS:
+            named += [node] if node.gone else []
+        elif node.tag == "header" or _says_only(node, _HEADER_WORDS) and not node.words & _OWN_WORDS and node.tag not in _HEADINGS:
             # Of an article's own header the headings stay.
             if inside is None:
                 node.gone = not any(_own(c) for c in _elements(node))
             elif node.tag == "header":
                 node.children = [c for c in _elements(node) if c.tag in _HEADINGS]
+    return named
 
 
 def _elements(node: Node) -> list[Node]:
@@ -193,7 +213,7 @@ def _elements(node: Node) -> list[Node]:
 
 
 def _score(root: Node) -> list[Node]:
-    """Gives every element its points; returns the containers that have any."""
+    """Gives every element its points and takes out doubtful lists of links; returns the containers with points."""
     order, stack = [], [(root, False)]
     while stack:
         node, linked = stack.pop()
@@ -235,12 +255,18 @@ def _score(root: Node) -> list[Node]:
     for node, _ in order:
         if node.points:
             node.points *= 1 - node.linked / max(1, node.text)
-            if _own(node):
-                node.points += 25
+            node.points += 25 * _own(node) - 25 * bool(node.words & _LEFT_WORDS)
             found.append(node)
+    for node, _ in order:  # a name that is partly such a word, and hardly any text but links
+        node.gone |= bool(node.words & _LEFT_WORDS) and not node.holds and 2 * node.linked > node.text and node.tag not in ("html", "body")
     return found
 
 
+def _clear(root: Node) -> None:
+    for node in (root, *_elements(root)):
+        node.points, node.text, node.linked = 0.0, 0, 0
+
+
 def _container(root: Node) -> list[Node]:
     """The best container and those neighbours that belong to it, in page order."""
     found = _score(root)
@@ -250,7 +276,8 @@ def _container(root: Node) -> list[Node]:
     up, top = best, best
     while up is not None:
         if _own(up):
-            top = up
+            if 4 * (best.text - best.linked) >= up.text - up.linked:
+                top = up
             break
         up = up.parent
     if top.parent is None or top.tag in ("body", "html"):
@@ -296,7 +323,13 @@ def main_text(html: str | None) -> str:
     if not html or html.isspace():
         return ""
     root = parse(html)
-    _leave_out(root)
+    named = _leave_out(root)
+    text = "\n\n".join(blocks(_container(root)))
+    if text or not named:
+        return text
+    for node in named:  # nothing else on the page
+        node.gone = False
+    _clear(root)
     return "\n\n".join(blocks(_container(root)))
 
 

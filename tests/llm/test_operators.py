@@ -386,6 +386,76 @@ def test_article_text(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def sentence(rng, n=18):
+    return ", ".join(" ".join(rng.choice(WORDS) for _ in range(6)) for _ in range(n // 6)) + "."
+
+
+LINKS = "".join(f"<li><a href='/{i}'>Some link text number {i}</a></li>" for i in range(12))
+CLUTTER = {
+    "menu": f"<div class='top-menu'><ul>{LINKS}</ul></div>", "nav": f"<nav><ul>{LINKS}</ul></nav>", "links": f"<ul>{LINKS}</ul>",
+    "side": f"<div id='sidebar'><p>Read on, there is more, much more, of all kinds of things.</p><ul>{LINKS}</ul></div>",
+    "cookie": "<div class='cookie-notice'><p>We use cookies, many of them, for this, that, and more of it all the time.</p></div>",
+    "ad": "<div class='ad-box'><p>Buy this now, it is cheap, it is good, and it is nearly gone, so hurry up.</p></div>",
+    "comments": "<div id='comments'><p>I liked this, really, it was good, and I read all of it, twice.</p><p>So did I, yes, all of it, and more than twice.</p></div>",
+    "footer": "<footer><p>All rights reserved, by us, for ever, in every land and on every sea.</p></footer>",
+    "foot": "<div class='site-footer'><p>All rights reserved, by us, for ever, in every land and on every sea.</p></div>",
+    "form": "<form><p>Your name, your mail, your message, all of it here, please, thanks.</p><input></form>",
+    "header": "<header><h2>The site</h2><p>The site of all sites, and of much else besides that.</p></header>",
+}
+
+
+def page_shapes():
+    """Pages without an article or main element: blocks of text in order, and the page."""
+    rng = random.Random(77)
+
+    def ps(n):
+        return [sentence(rng, 6 * rng.randrange(4, 9)) for _ in range(n)]
+
+    def p(texts):
+        return "".join(f"<p>{t}</p>" for t in texts)
+
+    c = CLUTTER
+    for before, after in ((["menu", "cookie"], ["footer"]), (["header", "nav"], ["comments", "foot"])):
+        t = ps(5)
+        yield t, "".join(c[x] for x in before) + f"<div class='content'>{p(t)}</div>" + "".join(c[x] for x in after)
+        yield t, "".join(c[x] for x in before) + f"<div><div><div>{p(t)}</div></div></div>" + "".join(c[x] for x in after)
+        yield t, "".join(c[x] for x in before) + p(t) + "".join(c[x] for x in after)  # in the body itself
+        yield t, f"<table><tr><td>{c['links']}</td><td>{p(t)}</td></tr></table>" + "".join(c[x] for x in after)
+        yield t, f"<div class='page'>{c['side']}<div id='text'>{p(t[:2])}{c['ad']}{p(t[2:])}</div></div>"
+        yield t, f"<section><h2>{t[0]}</h2>{p(t[1:])}{c['form']}</section>" + c["links"]
+        yield t, f"<div class='story'><h1>{t[0]}</h1>{p(t[1:3])}<blockquote>{p(t[3:])}</blockquote></div>" + c["side"]
+        yield t, f"<div class='x'>{p(t[:2])}<div class='side-effects'>{p(t[2:4])}</div>{p(t[4:])}{c['comments']}</div>"
+        yield t, f"{c['nav']}<div class='post'>{p(t[:1])}<ul>{''.join(f'<li>{x}</li>' for x in t[1:])}</ul></div>{c['foot']}"
+        yield t, f"{c['menu']}<div class='entry'>{p(t[:4])}<div class='comment-period'><ul>{LINKS}</ul></div>{p(t[4:])}</div>{c['footer']}"
+
+
+def test_twenty_shapes_of_pages():
+    shapes = list(page_shapes())
+    assert len(shapes) == 20
+    for k, (want, page) in enumerate(shapes):
+        assert html.main_text(f"<html><head><title>T</title></head><body>{page}</body></html>") == "\n\n".join(want), k
+
+
+@pytest.mark.parametrize("name", ["side-effects", "share-price", "menu-of-the-day", "comment-period", "head-injury", "hidden-costs"])
+def test_names_alone_take_nothing_out_of_an_article(name):
+    rng = random.Random(3)
+    a, b, d = sentence(rng), sentence(rng), "Short one."
+    page = f"<body><nav>x</nav><article><h1>T</h1><p>{a}</p><section class='{name}'><p>{b}</p><p>{d}</p></section><div class='ad'>{b}</div></article></body>"
+    assert html.main_text(page) == "\n\n".join(["T", a, b, d])
+
+
+def test_scores_decide_between_containers():
+    rng = random.Random(4)
+    text = [sentence(rng, 48) for _ in range(6)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    teasers = "".join(f"<article><h3>Teaser {i}</h3><p>{sentence(rng, 6)}</p></article>" for i in range(5))
+    assert html.main_text(f"<div>{teasers}</div><div class='text'>{body}</div>") == "\n\n".join(text)
+    # Equal containers: the first one in the page; its neighbour has as many points and stays too.
+    assert html.main_text(f"<div><p>{text[0]}</p></div><div><p>{text[0]}</p></div>") == f"{text[0]}\n\n{text[0]}"
+    # A page that has nothing but what is left out by name.
+    assert html.main_text(f"<div class='comments'>{body}</div>") == "\n\n".join(text)
+
+
 def test_fingerprints(spark, odd, none):
     rows = [(r.doc_id, r.text or "") for r in odd.collect()]
     got = syncmers.fingerprints(odd).collect()
