@@ -196,7 +196,43 @@ def _clusters(k: int = 16, dims: int = 64, rounds: int = 3) -> str:
     FROM near{rounds} JOIN kept USING (row) JOIN shown USING (c)"""
 
 
+def _linked(size: int = 5, percent: int = 75) -> str:
+    """Every pair of texts that share a shingle, and what can be reached by links."""
+    whole = "array_to_string(words, ' ')"
+    each = f"list_transform(range(1, len(words) - {size - 2}), lambda i: array_to_string(words[i : i + {size - 1}], ' '))"
+    return f"""WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+      shingles AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {size} THEN [{whole}] ELSE {each} END) AS s FROM worded)),
+      sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+      common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+      links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * shared >= {percent} * (p.n + q.n - shared)),
+      ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+      reached AS (SELECT x, y FROM ways UNION SELECT r.x, w.y FROM reached r JOIN ways w ON w.x = r.y),
+      least AS (SELECT x, min(y) AS y FROM reached GROUP BY x)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id
+    FROM worded LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON x = doc_id"""
+
+
+def _repeats(size: int = 400, part: int = 200) -> str:
+    """Every string of so many bytes, two hexadecimal digits a byte, held against all others."""
+    return f"""WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+      cut_up AS (SELECT doc_id, spot, substr(h, 2 * spot + 1, {2 * (part + size - 1)}) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, {part})) AS spot FROM t)),
+      strings AS (SELECT doc_id, spot + j AS i, md5_number(substr(h, 2 * j + 1, {2 * size})) AS k
+        FROM (SELECT doc_id, spot, h, unnest(range(0, least({part}, len(h) // 2 - {size - 1}))) AS j FROM cut_up)),
+      starts AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -{size + 1}) > {size} AS fresh
+        FROM strings WHERE k IN (SELECT k FROM strings GROUP BY k HAVING count(*) > 1)),
+      numbered AS (SELECT doc_id, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts),
+      spans AS (SELECT doc_id, min(i) AS lo, max(i) + {size} AS hi FROM numbered GROUP BY doc_id, run),
+      gaps AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM spans),
+      cut AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last,
+        string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head FROM gaps JOIN t USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM t LEFT JOIN cut USING (doc_id)"""
+
+
 ORACLES: dict[str, str] = {
+    "op3_jaccard_join": _linked(),
+    "op9_rindex_dedup": _repeats(),
     "op11_ranked_search": _ranking(),
     "op12_license_scan": _licensed(),
     "op13_lloyd_clusters": _clusters(),
