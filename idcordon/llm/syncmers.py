@@ -78,14 +78,14 @@ def sketch(df: DataFrame, text: str, out: str, options: SyncmerOptions) -> DataF
     df = df.selectExpr(*kept, once(f"CASE WHEN {name(text)} <> '' THEN regexp_extract_all({name(text)}, r'{_SYMBOL}', 0) END", "_w"))
     df = df.selectExpr(*kept, "CASE WHEN size(_w) > 0 THEN _w END AS _w")
     df = anchors(df, "_w", "_a", options)
-    df = df.selectExpr(*kept, once(f"array_sort(transform(_a, a -> shiftleft(a.hash & {_PLACE}L, 32) | a.position))", "_a"))
+    df = df.selectExpr(*kept, once(f"sort_array(transform(_a, a -> shiftleft(a.hash & {_PLACE}L, 32) | a.position))", "_a"))
     first = "filter(_a, (x, i) -> i = 0 OR shiftright(x, 32) <> shiftright(get(_a, i - 1), 32))"
     return df.selectExpr(*kept, once(f"coalesce({first}, cast(array() AS array<bigint>))", name(out)))
 
 
 def digits(sketch: str) -> str:
     """The fingerprint: place and eight digits of each anchor, by place."""
-    by_place = f"array_sort(transform({sketch}, x -> shiftleft(x & {_PLACE}L, 32) | shiftright(x, 32)))"
+    by_place = f"sort_array(transform({sketch}, x -> shiftleft(x & {_PLACE}L, 32) | shiftright(x, 32)))"
     return f"array_join(transform({by_place}, x -> concat(shiftright(x, 32), ':', lpad(lower(hex(x & {_PLACE}L)), 8, '0'))), ' ')"
 
 
@@ -94,10 +94,10 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str, options: SyncmerOptio
     kept = [name(c) for c in df.columns]
     side, half = 1 << 31, options.drift // 2
     # Anchors of both in one sorted row: common ones are neighbours, that of ``a`` first.
-    df = df.selectExpr(*kept, once(f"array_sort(concat({a}, transform({b}, x -> x | {side}L)))", "_s"))
+    df = df.selectExpr(*kept, once(f"sort_array(concat({a}, transform({b}, x -> x | {side}L)))", "_s"))
     common = "filter(sequence(1, greatest(size(_s) - 1, 1)), i -> shiftright(get(_s, i), 32) = shiftright(get(_s, i - 1), 32))"
     df = df.selectExpr(
-        *kept, once(f"array_sort(transform({common}, i -> (get(_s, i) & {_PLACE}L) - (get(_s, i - 1) & {_PLACE}L)))", "_moved")
+        *kept, once(f"sort_array(transform({common}, i -> (get(_s, i) & {_PLACE}L) - (get(_s, i - 1) & {_PLACE}L)))", "_moved")
     )
 
     def best(shift: int) -> str:
