@@ -120,7 +120,8 @@ def extract_text(
     if prompts is None:
         joined = read.selectExpr("*", "cast(NULL AS string) AS latest_prompt")
     else:
-        latest = prompts.selectExpr("transcript_path AS _path", "latest_prompt")
+        # One text for each conversation: too much for a broadcast, though it is guessed to be small.
+        latest = prompts.selectExpr("transcript_path AS _path", "latest_prompt").hint("merge")
         joined = read.join(latest, "_path", "left")
     from_transcript = "transcript_path <> '' AND latest_prompt <> ''"
     return joined.selectExpr(

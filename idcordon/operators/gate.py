@@ -38,7 +38,8 @@ def _with_verdicts(left: DataFrame, verdicts: DataFrame, key: str, needed: str)
     # The test stands in the join condition: nulling the key of rows that need no
     # answer would send all of them to one partition.
     a = left.selectExpr(*[name(c) for c in left.columns], f"{needed} AS _needed").alias("a")
-    v = verdicts.withColumnRenamed(key, "_answer_key").alias("v")
+    # Rows made of parsed JSON are taken for far smaller than they are, and all of them would be broadcast.
+    v = verdicts.withColumnRenamed(key, "_answer_key").alias("v").hint("merge")
     joined = a.join(v, F.expr(f"a.{name(key)} = v._answer_key AND a._needed"), "left")
     missing = "_needed AND _answer_key IS NULL"
     closed = {

@@ -14,13 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 PARTITIONS = "idcordon.input.partitions"
 
+# Tables whose texts, payloads and answers are made from a few narrow columns.
+_NARROW = ("customer", "orders", "events")
 
-def dealt(df: DataFrame) -> DataFrame:
+
+def dealt(df: DataFrame, narrow: bool = False) -> DataFrame:
     """The rows dealt to so many partitions as the session asks for, else as the source has them.
 
-    For bench and trial runs over files of a single split; tables of many splits need no such setting.
+    For bench and trial runs over files of a single split; tables of many splits need no such setting. ``narrow`` rows,
+    from which far more is made than is read, are always dealt, by default to the session's shuffle partitions: a split holds
+    too many of them for one task.
     """
-    n = df.sparkSession.conf.get(PARTITIONS, "")
+    conf = df.sparkSession.conf
+    n = conf.get(PARTITIONS, "") or (conf.get("spark.sql.shuffle.partitions") if narrow else "")
     return df.repartition(int(n)) if n else df
 
 
@@ -31,7 +37,7 @@ class View:
     where: str | None = None
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = dealt(spark.read.parquet(f"{sf_dir}/{self.table}.parquet"))
+        df = dealt(spark.read.parquet(f"{sf_dir}/{self.table}.parquet"), self.table in _NARROW)
         for layer in self.layers:
             df = df.selectExpr(*layer)
         return df.where(self.where) if self.where else df
