@@ -129,16 +129,23 @@ def signatures(docs: DataFrame, options: JaccardOptions) -> DataFrame:
 # ---------------------------------------------------------------- order and boundary
 
 
+def several(held: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values that occur ``least`` times or more, and how often. Sorts in place: no copy of all values is made."""
+    held.sort()
+    again = held[: max(0, len(held) - least + 1)]
+    value, count = np.unique(again[again == held[least - 1 :]], return_counts=True)
+    return value, count + least - 1
+
+
 def _counted(docs: DataFrame, options: JaccardOptions) -> DataFrame:
     """(small, shingle, count): shingles frequent in a stretch of the rows; and lists of the small sets' prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held, filled = np.empty(options.count_shingles, dtype=_U), 0
 
         def frequent() -> pa.RecordBatch:
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            often = np.flatnonzero(count >= 4)
-            often = often[np.argsort(count[often])[::-1][: options.frequent]]
+            value, count = several(held[:filled], 4)
+            often = np.argsort(count)[::-1][: options.frequent]
             return batch(False, value[often], count[often])
 
         def batch(small: bool, value: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
@@ -150,7 +157,14 @@ def _counted(docs: DataFrame, options: JaccardOptions) -> DataFrame:
         for b in batches:
             for block in W.blocks(b["text"]):
                 text, value = text_sets(block, options.words)
-                held.append(value)
+                rest = value
+                while len(rest):
+                    part, rest = rest[: len(held) - filled], rest[len(held) - filled :]
+                    held[filled : filled + len(part)] = part
+                    filled += len(part)
+                    if filled == len(held):
+                        yield frequent()
+                        filled = 0
                 _, starts, n = _bounds(text)
                 place = np.arange(len(text)) - np.repeat(starts, n)
                 size = np.repeat(n, n)
@@ -158,10 +172,7 @@ def _counted(docs: DataFrame, options: JaccardOptions) -> DataFrame:
                 few = (size <= options.light_limit) & (place < probe)
                 if few.any():
                     yield batch(True, *np.unique(value[few], return_counts=True))
-                if sum(map(len, held)) >= options.count_shingles:
-                    yield frequent()
-                    held = []
-        if held:
+        if filled:
             yield frequent()
 
     return (
@@ -295,7 +306,7 @@ def _sieve(keys: DataFrame, key: str, bits: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, signed: DataFrame, wanted: DataFrame, options: JaccardOptions) -> DataFrame:
-    """(set_id, shingles): the sorted shingles of the wanted classes, as bytes.
+    """(set_id, shingles): the shingles of the wanted classes.
 
     Texts are joined by content; a bitmap of fixed size, sent to all tasks, first drops most of the others.
     """
@@ -322,31 +333,21 @@ def _sets_of(docs: DataFrame, signed: DataFrame, wanted: DataFrame, options: Jac
                 text, value = text_sets(block, options.words)
                 _, starts, n = _bounds(text)
                 ids = set_ids(n, starts, value)
-                fresh = [k for k, i in enumerate(ids.tolist()) if i not in seen and not seen.add(i)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[fresh]), pa.array([value[starts[k] : starts[k] + n[k]].tobytes() for k in fresh], pa.binary())],
-                    names=["set_id", "shingles"],
-                )
+                fresh = np.array([i not in seen and not seen.add(i) for i in ids.tolist()], dtype=bool)
+                ends = np.concatenate([[0], np.cumsum(n[fresh])]).astype(np.int32)
+                own = pa.ListArray.from_arrays(pa.array(ends), pa.array(value[np.repeat(fresh, n)].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[fresh]), own], names=["set_id", "shingles"])
 
-    return found.select("text").mapInArrow(run, "set_id long, shingles binary")
+    return found.select("text").mapInArrow(run, "set_id long, shingles array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, options: JaccardOptions) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
+    """Those of the pairs (a, b) that link. Compared in the JVM, row by row: batches of pairs of long sets would be large."""
     left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["sa"], b["sb"]):
-                x, y = np.frombuffer(x.as_buffer(), dtype=_U), np.frombuffer(y.as_buffer(), dtype=_U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= options.percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["a"].filter(mask), b["b"].filter(mask)], names=["a", "b"])
-
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    both = F.size(F.array_intersect("sa", "sb"))
+    met = pairs.select("a", "b").join(right, "b").join(left, "a")
+    return met.where(100 * both >= options.percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def _covered(sets: DataFrame) -> DataFrame:
@@ -356,12 +357,6 @@ def _covered(sets: DataFrame) -> DataFrame:
     the members of runs of two or more for each set, so nothing is joined.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for who, data in zip(b["set_id"].to_pylist(), b["shingles"]):
-                value = np.frombuffer(data.as_buffer(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), who)), pa.array(value)], names=["set_id", "shingle"])
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(who: np.ndarray) -> pa.RecordBatch:
             own, n = np.unique(who, return_counts=True)
@@ -387,7 +382,7 @@ def _covered(sets: DataFrame) -> DataFrame:
             if keep.any():
                 yield counted(who[keep])
 
-    flat = sets.mapInArrow(run, "set_id long, shingle long")
+    flat = sets.select("set_id", F.explode("shingles").alias("shingle"))
     dealt = flat.repartition("shingle").sortWithinPartitions("shingle")
     return dealt.mapInArrow(scan, "set_id long, covered long").groupBy("set_id").agg(F.sum("covered").cast("int").alias("covered"))
 
