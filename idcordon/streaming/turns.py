@@ -12,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from idcordon.config import BLOCK_SECONDS
 from idcordon.streaming.ordered import in_order
 
+#: A conversation in order is folded in stretches of so many seconds at least.
+STRETCH_SECONDS = 3600
+
 _OUT = "conversation_id string, event_id bigint, kind string, blocked boolean, terminate boolean"
 
 
@@ -87,30 +90,38 @@ def ordered_turn_blocks(events: DataFrame, lateness: str, seconds: int = BLOCK_S
     """Blocked and terminate for each event of a stream whose events arrive in any order within ``lateness``.
 
     As ``turn_blocks``, whatever the order of arrival; an answer waits until the watermark has passed its event.
-    ``events`` as for ``stream_turn_blocks``. State of a conversation is the time of its last denial, which a timer
+    ``events`` as for ``stream_turn_blocks``. A conversation is folded in stretches of an hour, or of ``seconds`` if that is
+    more, so that a busy one is not one task's: prompts and after-events of the end of a stretch, by which the next one's events
+    can be blocked, go into that one too. State of a stretch is the time of its last denial, which a timer
     removes once no event can be blocked by it, and its events within the lateness. An event
-    that comes later than that is answered by the flag as it stands and doesn't change it.
+    that comes later than that is answered by its stretch's flag as it stands and doesn't change it.
     """
     life = seconds * 1_000_000
+    length = max(seconds, STRETCH_SECONDS) * 1_000_000
 
     def held(since: int | None, e: dict) -> bool:
         return e["kind"] != "prompt" and since is not None and 0 <= e["at"] - since < life
 
-    def answer(since: int | None, e: dict) -> dict:
-        return {"blocked": held(since, e), "terminate": held(since, e) and e["kind"] == "post"}
+    def answer(since: int | None, e: dict) -> dict | None:
+        return None if e["copy"] else {"blocked": held(since, e), "terminate": held(since, e) and e["kind"] == "post"}
 
-    def step(since: int | None, e: dict) -> tuple[int | None, dict]:
+    def step(since: int | None, e: dict) -> tuple[int | None, dict | None]:
         given = answer(since, e)
         if e["kind"] == "prompt":
             return (e["at"] if e["denied"] else None), given
         return (None if e["kind"] == "post" else since), given
 
+    own = f"(at - pmod(at, {length})) div {length}"
     narrow = events.select(
         "conversation_id", "ts", F.col("event_id").cast("bigint").alias("event_id"), "kind",
         F.coalesce("denied", F.lit(False)).alias("denied"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
-    )
+    ).select("*", F.explode(F.expr(
+        f"if(kind IN ('prompt', 'post') AND pmod(at, {length}) >= {length - life}, array({own}, {own} + 1), array({own}))"
+    )).alias("stretch"))
+    narrow = narrow.withColumn("copy", F.expr(f"coalesce(stretch <> {own}, false)"))
     place = "concat('[', at, ',', to_json(array_compact(array(event_id))), ',0]')"
-    flagged = in_order(narrow, "conversation_id", "ts", place, ["conversation_id", "event_id", "kind", "denied", "at"], lateness, step, answer, idle=seconds * 1000)
+    record = ["conversation_id", "event_id", "kind", "denied", "at", "copy"]
+    flagged = in_order(narrow, "conversation_id", "ts", place, record, lateness, step, answer, idle=seconds * 1000, stretch="stretch")
     return flagged.select(
         F.from_json("record", "conversation_id string, event_id bigint, kind string").alias("r"),
         F.from_json("given", "blocked boolean, terminate boolean").alias("g"),
