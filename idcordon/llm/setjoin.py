@@ -17,6 +17,10 @@ others have too), the list's head; what links becomes one component. Only sets o
 components that still share a list, or lists with one head, are then compared with each other,
 so no link between components is lost.
 
+Before two sets are brought together, their sketches are: the parities of a set's shingles by hash
+value, two to four bits a shingle. Each bit in which two sketches differ needs a shingle that only one of the sets
+has, so a pair whose sketches differ in too many bits can't link, and no other pair is put aside.
+
 Defined results: no words or null text: an empty set, linked with nothing. Fewer words than a
 shingle has: the whole sequence is the one shingle. Repeated rows and ids are rows like any
 other; component_id is the smallest id reachable, null if all are null. Other columns of the
@@ -49,7 +53,7 @@ class JaccardOptions:
 
     frequent: so many of the most frequent shingles come last in the order; any number gives the
     same links. part: lists of known longer shingles are dealt to several tasks of about so many.
-    crowd: from this list length on, coverage by other sets is counted. light_limit: the boundary
+    crowd: from this list length on, sketches are compared before a pair is written. light_limit: the boundary
     is looked for up to this size. sieve_bits: of the bitmap that spares texts a shuffle.
     """
 
@@ -100,6 +104,21 @@ def set_ids(n: np.ndarray, starts: np.ndarray, value: np.ndarray) -> np.ndarray:
     return W.mix64(total + n.astype(_U)).view(np.int64)
 
 
+def sketches(n: np.ndarray, starts: np.ndarray, value: np.ndarray) -> pa.ListArray:
+    """Parities of each nonempty set's shingles, in 64-bit words; the number of words is a power of two.
+
+    A shingle's word is told by its highest bits, so neighbouring words fold into one of a sketch of half the length.
+    """
+    high = np.maximum(1, np.ceil(np.log2(np.maximum(n, 1) / 32))).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(1 << high)])
+    words = np.zeros(ends[-1], dtype=_U)
+    if len(value):
+        place = np.repeat(ends[:-1], n) + (value >> np.repeat(_U(64) - high.astype(_U), n)).astype(np.int64)  # ascending, as the shingles are
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        words[place[first]] = np.bitwise_xor.reduceat(_U(1) << (value & _U(63)), first)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words.view(np.int64)))
+
+
 def _bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts with a set, where each begins in the flat arrays, and its size."""
     starts = np.flatnonzero(np.diff(text, prepend=-1)) if len(text) else np.zeros(0, dtype=np.int64)
@@ -107,23 +126,26 @@ def _bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, options: JaccardOptions) -> DataFrame:
-    """doc_id, content (hash of the text), set_id (null for an empty set) and n_shingles of every row."""
+    """doc_id, content (hash of the text), set_id (null for an empty set), n_shingles and sketch (empty for an empty set) of every row."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, ids = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
             for block in W.blocks(b["text"]):
+                n, ids = np.zeros(block.n, dtype=np.int64), np.zeros(block.n, dtype=np.int64)
                 text, value = text_sets(block, options.words)
                 own, starts, sizes = _bounds(text)
-                n[block.first + own] = sizes
-                ids[block.first + own] = set_ids(sizes, starts, value)
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["content"], pa.array(ids, mask=n == 0), pa.array(n)],
-                names=["doc_id", "content", "set_id", "n_shingles"],
-            )
+                n[own] = sizes
+                ids[own] = set_ids(sizes, starts, value)
+                rank = np.cumsum(n > 0) - 1
+                drawn = sketches(sizes, starts, value).take(pa.array(rank, mask=n == 0))
+                doc_id, content = (b[c].slice(block.first, block.n) for c in ("doc_id", "content"))
+                yield pa.RecordBatch.from_arrays(
+                    [doc_id, content, pa.array(ids, mask=n == 0), pa.array(n), drawn],
+                    names=["doc_id", "content", "set_id", "n_shingles", "sketch"],
+                )
 
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, content long, set_id long, n_shingles long")
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, content long, set_id long, n_shingles long, sketch array<long>")
 
 
 # ---------------------------------------------------------------- order and boundary
@@ -350,41 +372,45 @@ def _linked(pairs: DataFrame, sets: DataFrame, options: JaccardOptions) -> DataF
     return met.where(100 * both >= options.percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _covered(sets: DataFrame) -> DataFrame:
-    """(set_id, covered): how many shingles of a set another of these sets has too.
+def _sketches_of(signed: DataFrame, wanted: DataFrame, options: JaccardOptions) -> DataFrame:
+    """(set_id, size, sketch) of the wanted classes (set_id, distinct); a bitmap of them first drops most others, unshuffled."""
+    wanted = stored(wanted, "wanted")
+    sieve = F.broadcast(_sieve(wanted, "set_id", options.sieve_bits))
+    bit = F.pmod(F.col("set_id"), F.lit(options.sieve_bits))
+    likely = signed.select("set_id", "n_shingles", "sketch").join(sieve, F.floor(bit / 64).cast("int") == F.col("word")).where(
+        F.expr("mask & shiftleft(1L, CAST(pmod(set_id, 64) AS INT)) <> 0")
+    )
+    # An inner join with distinct rows: a semi-join would be pushed below the bitmap.
+    return likely.join(wanted, "set_id").groupBy("set_id").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
 
-    Shingles are dealt and sorted once; a task streams over the runs of equal ones and counts
-    the members of runs of two or more for each set, so nothing is joined.
-    """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(who: np.ndarray) -> pa.RecordBatch:
-            own, n = np.unique(who, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], names=["set_id", "covered"])
+def differing(one: str, other: str) -> str:
+    """In how many bits two sketches differ; the longer one is folded once. Null if it is longer still, or one is null."""
 
-        last, common = None, False  # the shingle that the next batch may go on with: (shingle, its only set so far)
-        for b in batches:
-            who, value = (np.asarray(b[c].to_numpy(zero_copy_only=False)) for c in ("set_id", "shingle"))
-            if not len(value):
-                continue
-            if last is not None and not common:  # one set that waits for a second one
-                who, value = np.r_[last[1], who], np.r_[last[0], value]
-            goes_on = last is not None and common and value[0] == last[0]
-            new = np.r_[True, value[1:] != value[:-1]]
-            run_of = np.cumsum(new) - 1
-            size = np.bincount(run_of)
-            several = size > 1
-            if goes_on:
-                several[0] = True
-            keep = several[run_of]
-            common = bool(several[-1])
-            last = (value[-1], who[-1])
-            if keep.any():
-                yield counted(who[keep])
-
-    flat = sets.select("set_id", F.explode("shingles").alias("shingle"))
-    dealt = flat.repartition("shingle").sortWithinPartitions("shingle")
-    return dealt.mapInArrow(scan, "set_id long, covered long").groupBy("set_id").agg(F.sum("covered").cast("int").alias("covered"))
+    def folded(x: str, to: str) -> str:
+        return f"if(size({x}) > size({to}), transform(sequence(0, size({to}) - 1), i -> get({x}, 2 * i) ^ get({x}, 2 * i + 1)), {x})"
+
+    bits = f"zip_with({folded(one, other)}, {folded(other, one)}, (x, y) -> bit_count(x ^ y))"
+    near = f"size({one}) <= 2 * size({other}) AND size({other}) <= 2 * size({one})"
+    return f"CASE WHEN {one} IS NOT NULL AND {other} IS NOT NULL AND {near} THEN aggregate({bits}, 0, (t, d) -> t + d) END"
+
+
+def _near(n: str, m: str, one: str, other: str, options: JaccardOptions) -> str:
+    """Whether sets of sizes n and m with these sketches can link: what only one of them has are at least the differing bits."""
+    p = options.percent
+    return f"coalesce((100 + {p}) * ({n} + {m} - {differing(one, other)}) >= 2 * {p} * ({n} + {m}), true)"
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+
+
+def _sifted(pairs: DataFrame, signed: DataFrame, options: JaccardOptions) -> DataFrame:
+    """The pairs (a, b) that can link by their sketches."""
+    drawn = stored(_sketches_of(signed, _ends(pairs), options), "sketches")
+    left, right = drawn.toDF("a", "size_a", "sketch_a"), drawn.toDF("b", "size_b", "sketch_b")
+    met = pairs.select("a", "b").join(right, "b").join(left, "a")
+    return met.where(_near("size_a", "size_b", "sketch_a", "sketch_b", options)).select("a", "b")
 
 
 def _possible(small: str, large: str, options: JaccardOptions) -> Column:
@@ -401,24 +427,26 @@ def _possible(small: str, large: str, options: JaccardOptions) -> Column:
 
 
 def _placed(lists: DataFrame, light: int, options: JaccardOptions) -> DataFrame:
-    """The lists with ``shared`` (prefix shingles of the class that are in lists) and ``rest`` (those behind the prefix).
+    """The lists with ``shared`` (prefix shingles of the class that are in lists), ``rest`` (those behind the prefix) and ``head``.
 
-    A light class isn't in all lists of its prefix, so nothing is concluded from what it shares.
+    A light class isn't in all lists of its prefix, so nothing is concluded from what it shares. ``head`` is
+    the best covered class of the list, or of this part of it.
     """
     p = options.percent
     partner = f"(({p} * n + 99) div 100)"
     prefix = f"(n - (({p} * (n + {partner}) + {99 + p}) div {100 + p}) + 1)"
     shared = lists.groupBy("set_id").agg(F.count("*").cast("int").alias("lists"))
-    return lists.join(shared, "set_id").selectExpr(
+    placed = lists.join(shared, "set_id").selectExpr(
         "key", "part", "set_id", "n", "tag", "length",
         f"CASE WHEN n <= {light} THEN n ELSE least(lists, {prefix}) END AS shared",
         f"CASE WHEN n <= {light} THEN n ELSE n - {prefix} END AS rest",
     )
+    me = F.struct(((F.col("shared") + F.col("rest")) / F.col("n")).alias("share"), "set_id", "n", "shared", "rest")
+    return placed.withColumn("head", F.max(me).over(Window.partitionBy("key", "part")))
 
 
 def set_links(docs: DataFrame, signed: DataFrame, options: JaccardOptions) -> DataFrame:
     """(a, b): enough linked classes to connect all that are linked, directly or through others."""
-    p = options.percent
     classes = signed.where("set_id IS NOT NULL").select("set_id", "n_shingles").distinct()
     counted = stored(_counted(docs, options), "shingle-counts")
     often = (
@@ -433,10 +461,10 @@ def set_links(docs: DataFrame, signed: DataFrame, options: JaccardOptions) -> Da
     full = stored(_placed(lists, light, options), "placed")
 
     # Every class with the best covered one of its list, the parts of a long list with each other's best.
-    me = F.struct(((F.col("shared") + F.col("rest")) / F.col("n")).alias("share"), "set_id", "n", "shared", "rest")
-    heads = stored(full.groupBy("key", "part").agg(F.max(me).alias("head")), "heads")  # read four times
-    tops = heads.where("part >= 0").groupBy("key").agg(F.max("head").alias("top")).join(heads.where("part >= 0"), "key")
-    ranked = full.join(heads, ["key", "part"]).select(F.struct("set_id", "n", "shared", "rest").alias("x"), F.col("head").alias("y"))
+    parted = full.where("part >= 0 AND set_id = head.set_id").select("key", "head")  # a head is in its list once
+    top = parted.groupBy("key").agg(F.max("head").alias("top"))
+    tops = top.join(parted, "key")
+    ranked = full.select(F.struct("set_id", "n", "shared", "rest").alias("x"), F.col("head").alias("y"))
     stars = (
         ranked.unionByName(tops.select(F.struct("head.set_id", "head.n", "head.shared", "head.rest").alias("x"), F.col("top").alias("y")))
         .where("x.set_id <> y.set_id")
@@ -445,44 +473,39 @@ def set_links(docs: DataFrame, signed: DataFrame, options: JaccardOptions) -> Da
         .distinct()
     )
     stars = stored(stars, "stars")
-    crowd = full.where((F.col("length") >= options.crowd) | (F.col("part") >= 0)).select("set_id").distinct()
-    ends = stars.select(F.col("a").alias("set_id")).unionByName(stars.select(F.col("b").alias("set_id"))).distinct()
-    sets = stored(_sets_of(docs, signed, ends, options), "sets")
-    links = stored(_linked(stars, sets, options), "linked")
+    near = stored(_sifted(stars, signed, options), "near")
+    links = stored(_linked(near, stored(_sets_of(docs, signed, _ends(near), options), "sets"), options), "linked")
 
-    # What the stars left apart: classes of different components that share a list.
+    # What the stars left apart: classes of different components that share a list. A list of two had its only pair among the stars.
     known = stored(components(links), "parts")
-    apart = full.drop("part").join(known.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    longer = full.where("length > 2 OR part >= 0").select("key", "part", "set_id", "n", "tag", "length", "shared", "rest", F.col("head.set_id").alias("head"))
+    apart = longer.join(known.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     split = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    apart = stored(apart.join(split, "key"), "apart")
-    # Two near copies of a crowd can only link if enough shingles of each are covered by the crowd. Of
-    # pairs with a class outside (``ends``: all that could link with the head of a list) nothing is concluded.
-    crowded = stored(crowd.join(apart.select("set_id").distinct(), "set_id").join(ends, "set_id", "left_semi"), "crowd")
-    cover = _covered(sets.join(crowded, "set_id", "left_semi"))
-    cover = stored(crowded.join(cover, "set_id", "left").select("set_id", F.coalesce("covered", F.lit(0)).alias("covered")), "covered")
+    top = top.select("key", F.col("top.set_id").alias("top"))
+    apart = stored(apart.join(split, "key").join(top, "key", "left").withColumn("head", F.coalesce("top", "head")).drop("top"), "apart")
+    # The classes of crowds bring their sketches along, so that few of a crowd's pairs are written at all.
+    crowd = apart.where((F.col("length") >= options.crowd) | (F.col("part") >= 0)).select("set_id").distinct()
+    drawn = stored(_sketches_of(signed, crowd, options).select("set_id", "sketch"), "crowd")
     # Lists with one head hold much the same classes: their classes are compared once, under the head.
-    heads_of = heads.groupBy("key").agg(F.max("head").alias("head")).select("key", F.col("head.set_id").alias("head"))
     able = (
-        apart.join(heads_of, "key").groupBy("head", "set_id")
+        apart.groupBy("head", "set_id")
         .agg(*[F.first(c).alias(c) for c in ("n", "shared", "rest", "component")], F.max("tag").alias("tag"))
     )
-    able = stored(able.join(cover, "set_id", "left"), "able")
+    able = stored(able.join(drawn, "set_id", "left"), "able")
     pairs = (
         able.alias("s")
         .join(
             able.alias("l"),
             F.expr("s.head = l.head AND s.tag AND s.component <> l.component AND (s.n < l.n OR s.n = l.n AND s.set_id < l.set_id)")
             & _possible("s", "l", options)
-            & F.expr(f"coalesce((100 + {p}) * (s.covered + l.covered - greatest(s.covered, l.covered)) >= {p} * (s.n + l.n), true)"),
+            & F.expr(_near("s.n", "l.n", "s.sketch", "l.sketch", options)),
         )
         .select(F.least("s.set_id", "l.set_id").alias("a"), F.greatest("s.set_id", "l.set_id").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    pairs = stored(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    more = _sets_of(docs, signed, ends, options)
-    return links.unionByName(_linked(pairs, stored(more, "sets"), options))
+    near = stored(_sifted(stored(pairs, "pairs"), signed, options), "near")
+    return links.unionByName(_linked(near, stored(_sets_of(docs, signed, _ends(near), options), "sets"), options))
 
 
 def _classes(docs: DataFrame, options: JaccardOptions) -> tuple[DataFrame, DataFrame]:
