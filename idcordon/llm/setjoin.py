@@ -395,6 +395,13 @@ def differing(one: str, other: str) -> str:
     return f"CASE WHEN {one} IS NOT NULL AND {other} IS NOT NULL AND {near} THEN aggregate({bits}, 0, (t, d) -> t + d) END"
 
 
+def shortened(sketch: str, words: int) -> str:
+    """The sketch folded to so many words (a power of two) at most."""
+    part = f"size({sketch}) div {words}"
+    fold = f"transform(sequence(0, {words - 1}), i -> aggregate(slice({sketch}, i * int({part}) + 1, int({part})), 0L, (t, x) -> t ^ x))"
+    return f"if(size({sketch}) > {words}, {fold}, {sketch})"
+
+
 def _near(n: str, m: str, one: str, other: str, options: JaccardOptions) -> str:
     """Whether sets of sizes n and m with these sketches can link: what only one of them has are at least the differing bits."""
     p = options.percent
@@ -436,7 +443,9 @@ def _placed(lists: DataFrame, light: int, options: JaccardOptions) -> DataFrame:
     partner = f"(({p} * n + 99) div 100)"
     prefix = f"(n - (({p} * (n + {partner}) + {99 + p}) div {100 + p}) + 1)"
     shared = lists.groupBy("set_id").agg(F.count("*").cast("int").alias("lists"))
-    placed = lists.join(shared, "set_id").selectExpr(
+    # Dealt with the few columns from which the others are made.
+    dealt = lists.join(shared, "set_id").repartition("key", "part")
+    placed = dealt.selectExpr(
         "key", "part", "set_id", "n", "tag", "length",
         f"CASE WHEN n <= {light} THEN n ELSE least(lists, {prefix}) END AS shared",
         f"CASE WHEN n <= {light} THEN n ELSE n - {prefix} END AS rest",
@@ -483,9 +492,9 @@ def set_links(docs: DataFrame, signed: DataFrame, options: JaccardOptions) -> Da
     split = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     top = top.select("key", F.col("top.set_id").alias("top"))
     apart = stored(apart.join(split, "key").join(top, "key", "left").withColumn("head", F.coalesce("top", "head")).drop("top"), "apart")
-    # The classes of crowds bring their sketches along, so that few of a crowd's pairs are written at all.
+    # The classes of crowds bring short sketches along, so that few of a crowd's pairs are written at all.
     crowd = apart.where((F.col("length") >= options.crowd) | (F.col("part") >= 0)).select("set_id").distinct()
-    drawn = stored(_sketches_of(signed, crowd, options).select("set_id", "sketch"), "crowd")
+    drawn = stored(_sketches_of(signed, crowd, options).select("set_id", F.expr(shortened("sketch", 8)).alias("sketch")), "crowd")
     # Lists with one head hold much the same classes: their classes are compared once, under the head.
     able = (
         apart.groupBy("head", "set_id")

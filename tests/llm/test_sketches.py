@@ -27,6 +27,9 @@ def test_differing_bits_never_exceed_the_shingles_of_one_set_only(spark):
     found = spark.createDataFrame(rows, "x array<long>, y array<long>, only long").withColumn("d", F.expr(setjoin.differing("x", "y")))
     assert found.where("d > only OR d IS NULL").count() == 0
     assert found.where("only = 0 AND d > 0").count() == 0
+    short = found.selectExpr("only", f"{setjoin.shortened('x', 8)} AS x", f"{setjoin.shortened('y', 8)} AS y")
+    assert short.where("size(x) > 8 OR size(y) > 8").count() == 0
+    assert short.withColumn("d", F.expr(setjoin.differing("x", "y"))).where("d > only OR only = 0 AND d > 0").count() == 0
     assert found.where("only > 200 AND d < 100").count() == 0  # and they tell different sets apart
     assert spark.range(1).select(F.expr(setjoin.differing("array(1L, 2L, 3L, 4L, 5L, 6L, 7L, 8L)", "array(1L, 2L)"))).first()[0] is None
 
