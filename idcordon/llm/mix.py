@@ -24,12 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from idcordon.llm import words
 from idcordon.sources.shared import stored
 
 BITS = 40  # digits of a schedule point
+_KEY = ["_key1", "_key2"]  # a row's id, source and text: two hashes
 
 
 @dataclass(frozen=True)
@@ -133,24 +135,24 @@ def _source_sizes(sized: DataFrame, options: MixOptions) -> list[tuple[str | Non
 
 @dataclass(frozen=True)
 class Mix:
-    """docs: every row with its place in its source; plan: the pieces of the mix."""
+    """docs: every row with its place in its source; plan: the pieces of the mix; whole: the rows with all columns, if they are wanted."""
 
     docs: DataFrame
     plan: DataFrame
+    whole: DataFrame | None = None
 
 
 def mix(docs: DataFrame, options: MixOptions | None = None, extra: bool = False) -> Mix:
     """The mix of all documents.
 
-    ``docs``: doc_id and source (``extra``: all columns), _size, _source_size, _target, _source_no
+    ``extra``: ``taken`` shall give all columns. ``docs``: doc_id and source, _size, _source_size, _target, _source_no
     and _start, the place of the document's first word in its source; (_source_no, _start) names a
     document with words. ``plan``: slot, source_no, start, doc_id, from_word and n_words: the slot holds so many words
     of the document from that word on.
     """
     options = options or MixOptions()
     spark = docs.sparkSession
-    narrow = ["doc_id", "source"]
-    sized = stored(sizes(docs, narrow), "mix-sizes")
+    sized = stored(sizes(_keyed(docs), ["doc_id", "source", *_KEY]) if extra else sizes(docs, ["doc_id", "source"]), "mix-sizes")
     order = _source_sizes(sized, options)
     wanted = targets([s for _, s in order], options)
     slots = max(64 * len(order), int(np.ceil(sum(wanted) / options.block_words))) if sum(wanted) else 0
@@ -164,8 +166,12 @@ def mix(docs: DataFrame, options: MixOptions | None = None, extra: bool = False)
     )
     # One row of each source, at most max_sources.
     placed = _placed(sized, facts, options)
-    wide = _placed(sizes(docs, docs.columns), facts, options) if extra else placed
-    return Mix(wide, _plan(spark, placed, schedule, late))
+    return Mix(placed, _plan(spark, placed, schedule, late), docs if extra else None)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    parts = [part for c in ("doc_id", "source", "text") for part in (F.col(c).isNull(), F.col(c))]
+    return docs.withColumn("_key1", F.xxhash64(*parts)).withColumn("_key2", F.xxhash64(F.lit(7), *parts))
 
 
 def _placed(sized: DataFrame, facts: DataFrame, options: MixOptions) -> DataFrame:
@@ -236,5 +242,28 @@ def taken(mixed: Mix) -> DataFrame:
     words = mixed.docs.where("_size > 0").join(sums, (F.col("_source_no") == F.col("_no")) & (F.col("_start") == F.col("_at")), "left")
     all_rows = words.unionByName(mixed.docs.where("_size = 0"), allowMissingColumns=True)
     made = {"size": "_size", "source_size": "_source_size", "target": "_target", "taken": "coalesce(_taken, 0L)"}
-    kept = [c for c in mixed.docs.columns if not c.startswith("_") and c not in made]
-    return all_rows.selectExpr(*[f"`{c}`" for c in kept], *[f"{e} AS {c}" for c, e in made.items()])
+    key = [] if mixed.whole is None else _KEY
+    rows = all_rows.selectExpr("doc_id", "source", *key, *[f"{e} AS {c}" for c, e in made.items()])
+    return rows if mixed.whole is None else _with_whole(mixed.whole, rows, list(made))
+
+
+def _with_whole(docs: DataFrame, rows: DataFrame, made: list[str]) -> DataFrame:
+    """The whole rows with the columns made. They are shuffled once, by key.
+
+    Rows of one key differ in other columns only: they have one size and follow one another in their source, so that
+    few values of taken occur among them. A row gets one of these by its number.
+    """
+    facts = [c for c in made if c != "taken"]
+    counts = rows.repartition(*_KEY).groupBy(*_KEY, *facts, "taken").agg(F.count("*").alias("n"))
+    shares = counts.groupBy(*_KEY).agg(
+        F.first(F.struct(*facts)).alias("_facts"), F.sort_array(F.collect_list(F.struct("taken", "n")), asc=False).alias("_shares")
+    )
+    kept = [c for c in docs.columns if c not in made]
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text" and not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
+    before = F.row_number().over(Window.partitionBy(*_KEY).orderBy(*others)) - 1
+    whole = _keyed(docs).withColumn("_before", before.cast("long")).join(shares, _KEY)
+    own = F.expr(
+        "aggregate(_shares, named_struct('left', _before, 'own', CAST(NULL AS BIGINT)), (a, s) -> named_struct('left', a.left - s.n, "
+        "'own', coalesce(a.own, if(a.left < s.n, s.taken, NULL))), a -> a.own)"
+    )
+    return whole.select(*[F.col(f"`{c}`") for c in kept], *[(own if c == "taken" else F.col(f"_facts.{c}")).alias(c) for c in made])

@@ -41,7 +41,8 @@ from pyspark.sql.window import Window
 
 from idcordon.llm import words as W
 from idcordon.llm.components import components
-from idcordon.sources.shared import stored
+from idcordon.llm.sieve import bitmap as _sieve
+from idcordon.sources.shared import settled, stored
 
 _U = np.uint64
 _SUBSET = _U(0xD6E8FEB86659FD93)
@@ -321,12 +322,6 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- comparing
 
 
-def _sieve(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """(word, mask): a bitmap of the keys' hashes; bits / 64 rows at most, however many keys there are."""
-    bit = F.pmod(F.col(key), F.lit(bits))
-    return keys.groupBy(F.floor(bit / 64).cast("int").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(pmod({key}, 64) AS INT)))").alias("mask"))
-
-
 def _sets_of(docs: DataFrame, signed: DataFrame, wanted: DataFrame, options: JaccardOptions) -> DataFrame:
     """(set_id, shingles): the shingles of the wanted classes.
 
@@ -520,7 +515,7 @@ def set_links(docs: DataFrame, signed: DataFrame, options: JaccardOptions) -> Da
 def _classes(docs: DataFrame, options: JaccardOptions) -> tuple[DataFrame, DataFrame]:
     """signatures of all rows; and (of_set, component, first_id) of every class, component: a set_id."""
     signed = stored(signatures(docs, options), "signatures")
-    linked = stored(components(set_links(docs, signed, options)), "components")
+    linked = settled(lambda: components(set_links(docs, signed, options)), "components")
     classes = signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_id"))
     named = classes.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left")
     return signed, stored(
@@ -540,6 +535,18 @@ def jaccard_components(docs: DataFrame, options: JaccardOptions | None = None) -
     )
 
 
+def _affected(docs: DataFrame, options: JaccardOptions) -> DataFrame:
+    """(_content, _id, _chosen) of the rows in components of several rows; _chosen: this one stays."""
+    signed, classes = _classes(docs, options)
+    known = signed.where("set_id IS NOT NULL").join(classes, F.col("set_id") == F.col("of_set"))
+    chosen = known.groupBy("component").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "content")).alias("one"))
+    several = stored(chosen.where("rows > 1").select(F.col("component").alias("of"), "one"), "several")
+    return known.join(several, F.col("component") == F.col("of")).select(
+        F.col("content").alias("_content"), F.col("doc_id").alias("_id"),
+        ((F.col("one.content") == F.col("content")) & F.col("one.doc_id").eqNullSafe(F.col("doc_id"))).alias("_chosen"),
+    ).distinct()
+
+
 def one_of_each(docs: DataFrame, options: JaccardOptions | None = None) -> DataFrame:
     """One row of each component, that with the smallest id (then content), and all rows without words; all columns.
 
@@ -547,17 +554,7 @@ def one_of_each(docs: DataFrame, options: JaccardOptions | None = None) -> DataF
     size takes for such, are shuffled.
     """
     options = options or JaccardOptions()
-    signed, classes = _classes(docs, options)
-    known = signed.where("set_id IS NOT NULL").join(classes, F.col("set_id") == F.col("of_set"))
-    chosen = known.groupBy("component").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "content")).alias("one"))
-    several = stored(chosen.where("rows > 1").select(F.col("component").alias("of"), "one"), "several")
-    affected = stored(
-        known.join(several, F.col("component") == F.col("of")).select(
-            F.col("content").alias("_content"), F.col("doc_id").alias("_id"),
-            ((F.col("one.content") == F.col("content")) & F.col("one.doc_id").eqNullSafe(F.col("doc_id"))).alias("_chosen"),
-        ).distinct(),
-        "affected",
-    )
+    affected = settled(lambda: _affected(docs, options), "affected")
     sieve = F.broadcast(_sieve(affected, "_content", options.sieve_bits)).toDF("_word", "_mask")
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
     bit = F.pmod(F.col("_hash"), F.lit(options.sieve_bits))
