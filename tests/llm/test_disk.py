@@ -8,9 +8,11 @@ import os
 import re
 from collections import Counter
 
+import numpy as np
 from idcordon.llm import mix, rindex, setjoin
 from idcordon.sources import shared
 from pyspark.sql import functions as F
+from tests.llm.test_operators import repeats_by_force
 
 DOCS = "doc_id long, text string, source string, tag string"
 
@@ -60,3 +62,20 @@ def test_only_texts_with_repeats_are_shuffled(spark):
     want = {r.doc_id for r in rindex.removal_digests(docs).where("n_removed > 0").collect()}
     assert want and {r.doc_id for r in likely.where(hit).collect()} == want
     assert likely.where(F.expr("text = ''")).where(~hit).count() == 1
+
+
+def test_frequent_anchors_are_spread(spark):
+    assert rindex.nth(np.array([5, 3, 5, 5, 3], dtype=np.uint64)).tolist() == [0, 0, 1, 2, 1]
+    assert rindex.nth(np.zeros(0, dtype=np.uint64)).tolist() == []
+    passage = " ".join(f"v{i * 31 % 97}" for i in range(200))
+    rows = [(i, f"begin{i} {passage} end{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows + rows[:40], "doc_id long, text string").repartition(3)
+    options = rindex.RepeatOptions()
+    anchors = rindex._anchors(rindex._hashed(docs), options)
+    groups = anchors.groupBy("anchor", "part").count().agg(F.max("count")).first()[0]
+    assert anchors.groupBy("anchor").count().agg(F.max("count")).first()[0] >= 300 and groups <= 6
+    found = rindex._repeated(anchors)
+    assert found.groupBy("h1", "h2", "place").count().where("count > 1").count() == 0
+    assert found.select("h1", "h2").distinct().count() == 300
+    got = rindex.removal_digests(docs).collect()
+    assert Counter(tuple(r)[1:] for r in got) == Counter(repeats_by_force([t.encode() for _, t in rows + rows[:40]], options.length))
